@@ -2,7 +2,7 @@
 
 from strataline.queries import collect
 
-MODULES = ("tokens",)
+MODULES = ("tokens", "packing")
 
 
 def llm() -> tuple[dict, dict]:
