@@ -2,7 +2,7 @@
 
 from strataline.queries import collect
 
-MODULES = ("tokens", "packing")
+MODULES = ("tokens", "packing", "spans")
 
 
 def llm() -> tuple[dict, dict]:
