@@ -10,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataline.operators.references import salted_join
+
 
 def chunk_pairs(members: DataFrame, group: list[str], item: str, size: DataFrame, chunk: int, key: Column) -> DataFrame:
     """Rows group..., left, right (sorted arrays of items); where both are one chunk, right is null.
 
-    members: group..., item, unique. size: group..., n_items of the groups to be cut. ``key``
-    is a hash of the item, by which it is dealt to a chunk.
+    members: group..., item, unique. size: group..., n_items of the groups that are wanted.
+    ``key`` is a hash of the item, by which it is dealt to a chunk.
     """
     n_chunks = F.ceil(F.col("n_items") / F.lit(float(chunk))).cast("int")
-    dealt = members.join(size.select(*group, n_chunks.alias("_chunks")), group)
+    dealt = salted_join(members, size.select(*group, n_chunks.alias("_chunks"), F.col("n_items").alias("n_refs")), group, item)
     dealt = dealt.withColumn("_own", F.pmod(key, F.col("_chunks")).cast("int"))
     # chunk i goes to each pair {i, j}; the pair's key spreads them
     met = dealt.withColumn("_met", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))

@@ -2,7 +2,7 @@
 
 from strataline.queries import collect
 
-MODULES = ("tokens", "packing", "spans")
+MODULES = ("tokens", "packing", "spans", "cooccurrence")
 
 
 def llm() -> tuple[dict, dict]:
