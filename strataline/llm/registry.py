@@ -2,7 +2,7 @@
 
 from strataline.queries import collect
 
-MODULES = ("tokens", "packing", "spans", "cooccurrence")
+MODULES = ("tokens", "packing", "spans", "cooccurrence", "neighbours")
 
 
 def llm() -> tuple[dict, dict]:
