@@ -2,7 +2,7 @@
 
 from strataline.queries import collect
 
-MODULES = ("tokens", "packing", "spans", "cooccurrence", "neighbours")
+MODULES = ("tokens", "packing", "cooccurrence", "neighbours", "handwritten", "spans")
 
 
 def llm() -> tuple[dict, dict]:
