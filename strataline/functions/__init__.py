@@ -1 +1 @@
-
+"""Functions: column expressions and small codecs."""

@@ -1 +1 @@
-
+"""Plans: pipelines and rule runs built of operators."""

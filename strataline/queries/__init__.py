@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "history")
+MODULES = ("problems", "history", "traversal", "relations")
 
 
 def collect(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:
