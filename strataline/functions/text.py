@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 256
-MODEL = "lexical-hash-256"
 
 
 def tokenize(text: Column) -> Column:
@@ -34,20 +39,57 @@ def embed_sparse(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFram
     return summed.filter("weight <> 0").join(norms, key).select(key, "bucket", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
-def embedding(text: Column, dim: int = DIM) -> Column:
-    """The unit vector of one text as array<float>, inside one expression; all zero without tokens."""
-    hits = F.flatten(F.transform(tokenize(text), lambda t: token_buckets(t, dim)))
-    at = F.sequence(F.lit(0), F.lit(dim - 1))
-    # add up each hit in turn over an array of counts
-    zeros = F.transform(at, lambda i: F.lit(0))
-    counts = F.aggregate(hits, zeros, lambda acc, h: F.transform(acc, lambda v, i: F.when(i == h["bucket"], v + h["sign"]).otherwise(v)))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, v: a + (v * v).cast("double")))
-    return F.transform(counts, lambda v: (v / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).cast("float"))
+class LexicalEmbedder:
+    """The same vector as embed_sparse gives, dense, for Arrow batches; tokens are hashed once."""
+
+    def __init__(self, dim: int = DIM):
+        self.id, self.dim = f"lexical-hash-{dim}", dim
+        self._known: dict[str, tuple[int, int, int]] = {}
+
+    def _hits(self, token: str) -> tuple[int, int, int]:
+        if token not in self._known:
+            if len(self._known) > 500_000:
+                self._known.clear()
+            h = hashlib.md5(token.encode()).digest()
+            self._known[token] = ((h[0] << 8 | h[1]) % self.dim, (h[3] << 8 | h[4]) % self.dim, 1 if h[2] & 1 else -1)
+        return self._known[token]
+
+    def embed(self, text: str) -> np.ndarray:
+        vec = np.zeros(self.dim, np.float32)
+        for token in _SPLIT.split(_HUMP.sub(r"\1 \2", text or "")):
+            if len(token) > 1:
+                a, b, sign = self._hits(token.lower())
+                vec[a] += sign
+                vec[b] += sign
+        return vec / (float(np.sqrt(np.square(vec, dtype=np.float64).sum())) or 1.0)
+
+
+_HUMP, _SPLIT = re.compile("([a-z0-9])([A-Z])"), re.compile("[^A-Za-z0-9]+")
+_EMBEDDERS: dict = {}
+
+
+def set_embedder(embedder, name: str = "default") -> None:
+    """Register an object with id, dim and embed(text); it is sent to the workers with the job."""
+    _EMBEDDERS[name] = embedder
+
+
+def get_embedder(name: str = "default"):
+    return _EMBEDDERS.setdefault(name, LexicalEmbedder())
+
+
+def embed_texts(df: DataFrame, key: str, text: str, embedder=None) -> DataFrame:
+    """key, dim, model, vec for each row by an embedder (the registered one); a null text is an empty one."""
+    maker = embedder or get_embedder()
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vecs = [maker.embed(t or "") for t in b.column(1).to_pylist()]
+            flat = np.concatenate(vecs) if vecs else np.empty(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * maker.dim), pa.array(flat.astype(np.float32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(vecs), maker.dim, np.int32)), pa.array([maker.id] * len(vecs)), lists], names=[key, "dim", "model", "vec"])
 
-def embed_texts(df: DataFrame, key: str, text: str, dim: int = DIM, model: str = MODEL) -> DataFrame:
-    """key, dim, model, vec for each row; a null text is an empty one."""
-    return df.select(F.col(key), F.lit(dim).alias("dim"), F.lit(model).alias("model"), embedding(F.coalesce(F.col(text), F.lit("")), dim).alias("vec"))
+    narrow = df.select(F.col(key), F.col(text))
+    return narrow.mapInArrow(work, f"`{key}` {narrow.schema[0].dataType.simpleString()}, dim int, model string, vec array<float>")
 
 
 def dot(a: Column, b: Column) -> Column:

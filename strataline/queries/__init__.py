@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "history", "traversal", "relations", "text")
+MODULES = ("problems", "history", "traversal", "relations", "text", "rules", "policy", "documents", "pipeline")
 
 
 def collect(package: str, modules: tuple[str, ...]) -> tuple[dict, dict]:

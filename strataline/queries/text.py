@@ -39,7 +39,7 @@ def f3_cosine_to_first(spark, sf_dir):
 
     v = table(spark, sf_dir, "node_embeddings").filter("vec is not null").distinct()
     half = F.floor(F.size("vec") / 2).cast("int")
-    return v.filter(half > 0).select("node_id", "model", F.round(dot(F.slice("vec", F.lit(1), half), F.slice("vec", half + 1, half)), 4).alias("score")).filter(~F.isnan("score") & (F.abs("score") < 1e9))
+    return v.filter(half > 0).select("node_id", "model", (F.round(dot(F.slice("vec", F.lit(1), half), F.slice("vec", half + 1, half)), 4) + 0.0).alias("score")).filter(~F.isnan("score") & (F.abs("score") < 1e9))
 
 
 def f4_blob(spark, sf_dir):
@@ -132,6 +132,8 @@ SQL = {
     "g3_recall": sql("select sp.id, round(sum(sp.weight * q.weight), 6) as score from sp join q on q.bucket = sp.bucket group by sp.id order by score desc, sp.id limit 15", _sparse("sp", _NODES), _sparse("q", f"select 0 as id, '{TEXT}' as text")),
     "g3_recall_vector": f"""select distinct node_id, model, round(list_dot_product(vec::double[], [(case when i % 2 = 0 then 1 else -1 end) / 8.0::double for i in range(64)]), 6) as score
       from node_embeddings where dim = 64 and len(vec) = 64 and {_FIN} order by score desc, node_id, model limit 15""",
+    "f3_cosine_to_first": """select * from (select distinct node_id, model, round(list_dot_product(vec[1:len(vec) // 2]::double[], vec[len(vec) // 2 + 1:2 * (len(vec) // 2)]::double[]), 4) + 0 as score
+      from (select distinct * from node_embeddings) where len(vec) >= 2) where not isnan(score) and abs(score) < 1e9""",
     "f4_blob": "select node_id, model, len(vec)::bigint * 4 as octets, case when vec is not null then true end as same from node_embeddings",
     "f5_sha256": "select doc_id, sha256(text) as hash from documents",
     "f6_edit_distance": sql("select id, levenshtein(name, 'RuleAdapter') as distance from n where regexp_full_match(name, '[ -~]+')"),
