@@ -37,6 +37,8 @@ REACH = 64
 STRETCH = 1_000_000
 #: A run met in more texts than this is resolved by grouping instead of by pairs.
 FEW = 64
+#: Stands for the number of texts of a run that repeats itself.
+MANY = 1 << 40
 #: Members of a group of equal passages or texts in one chunk.
 CHUNK = 500
 
@@ -100,8 +102,8 @@ def boundaries(h: Hasher, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(least), least
 
 
-def runs_of(chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and length of the run of sentences that begins at each sentence.
+def runs_of(chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of the run of sentences that begins at each sentence, and whether it repeats itself.
 
     The run ends at the boundary that is the least within the last window of its reach, so that
     start and end depend on nothing outside of start + reach.
@@ -120,9 +122,11 @@ def runs_of(chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray,
             continue
         parts.append((h.of(start, end), start + lo, end - start))
     if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     hashes, starts, lengths = (np.concatenate(x) for x in zip(*parts))
-    # in a passage that repeats itself every few characters, equal runs overlap: keep the first, the last and one in REACH
+    # in a passage that repeats itself every few characters, equal runs overlap: keep the first, the last and one in REACH.
+    # How such passages lie against each other is then left to the grouping of all their parts.
+    loops = np.zeros(len(starts), bool)
     if len(starts) > 1:
         same = (hashes[1:] == hashes[:-1]) & (starts[1:] - starts[:-1] <= REACH)
         head = np.concatenate([[True], ~same])
@@ -130,8 +134,9 @@ def runs_of(chars: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray,
         origin = np.maximum.accumulate(np.where(head, np.arange(len(starts)), 0))
         step = (starts - starts[origin]) // REACH
         keep = head | tail | np.concatenate([[True], step[1:] != step[:-1]])
+        loops = ~(head & tail)[keep]
         hashes, starts, lengths = hashes[keep], starts[keep], lengths[keep]
-    return hashes, starts, lengths
+    return hashes, starts, lengths, loops
 
 
 def _chars(text: str) -> np.ndarray:
@@ -149,14 +154,14 @@ def _emit_runs(min_chars: int):
                 if cls[i] in seen:  # an equal text in the same batch
                     continue
                 seen.add(cls[i])
-                hashes, starts, lengths = runs_of(_chars(texts[i].as_py()), min_chars)
-                held.append((np.full(len(starts), cls[i]), hashes.view(np.int64), starts.astype(np.int32), lengths.astype(np.int32)))
+                hashes, starts, lengths, loops = runs_of(_chars(texts[i].as_py()), min_chars)
+                held.append((np.full(len(starts), cls[i]), hashes.view(np.int64), starts.astype(np.int32), lengths.astype(np.int32), loops))
                 rows += len(starts)
                 if rows > 200_000 or i + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["cls", "run", "pos", "len"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["cls", "run", "pos", "len", "loops"])
                     held, rows = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["cls", "run", "pos", "len"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names=["cls", "run", "pos", "len", "loops"])
 
     return work
 
@@ -255,9 +260,9 @@ class SharedSpans:
         self.members = materialize(long.select("doc", "cls").distinct(), "members")
         tasks = width(self.spark)
 
-        runs = long.select("cls", "text").mapInArrow(_emit_runs(min_chars), "cls long, run long, pos int, len int")
+        runs = long.select("cls", "text").mapInArrow(_emit_runs(min_chars), "cls long, run long, pos int, len int, loops boolean")
         met = Window.partitionBy("run")
-        counted = runs.withColumn("lo", F.min("cls").over(met)).withColumn("hi", F.max("cls").over(met)).withColumn("n", F.count(F.lit(1)).over(met))
+        counted = runs.withColumn("lo", F.min("cls").over(met)).withColumn("hi", F.max("cls").over(met)).withColumn("n", F.when(F.max("loops").over(met), F.lit(MANY)).otherwise(F.count(F.lit(1)).over(met)))
         shared = materialize(counted.filter("lo <> hi").select("run", "cls", "pos", "len", "n").distinct(), "runs")
 
         firsts = self.members.groupBy("cls").agg(F.min("doc").alias("doc"))
@@ -344,7 +349,7 @@ def remove_repeated(docs: DataFrame, key: str, text: str, min_chars: int = MIN_C
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, t in zip(b.column(0), b.column(1).to_pylist()):
-                hashes, starts, lengths = runs_of(_chars(t), min_chars)
+                hashes, starts, lengths, _ = runs_of(_chars(t), min_chars)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc.as_py()] * len(starts), b.schema.field(0).type), pa.array(hashes.view(np.int64)), pa.array(starts.astype(np.int32)), pa.array(lengths.astype(np.int32))],
                     names=["doc", "run", "pos", "len"],

@@ -31,6 +31,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str | None = N
     One row for each row of ``df``, repeated ones too, also where the key is null; an empty
     table gives an empty result; other columns are not read.
     """
+    if key == "ids":
+        raise ValueError("the key may not be named ids")
     model = shared_model(df.sparkSession, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
