@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), text of every *.md under a folder."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     full = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
     return raw.select(F.substring(full, len(root.rstrip("/")) + 2, 1_000_000).alias("path"), F.col("value").alias("text"))
 

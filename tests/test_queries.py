@@ -1,0 +1,26 @@
+"""Every registered query of the core runs; those with SQL agree with DuckDB."""
+
+import pytest
+
+from strataline.queries import core
+from tests.oracle import assert_same, connect
+
+QUERIES, SQL = core()
+
+
+@pytest.fixture(scope="module")
+def con(sf_dir):
+    return connect(sf_dir)
+
+
+def test_sql_belongs_to_queries():
+    assert SQL.keys() <= QUERIES.keys()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(name, spark, sf_dir, con):
+    if name in SQL:
+        assert_same(QUERIES[name], SQL[name], spark, sf_dir, con)
+    else:
+        df = QUERIES[name](spark, sf_dir)
+        assert len(df.collect()) >= 0 and df.columns
