@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataline.operators.blocks import chunk_pairs, pairs_of_arrays
+from strataline.operators.references import salted_join
 from strataline.session import materialize, table, width
 
 MIN_CHARS = 200
@@ -261,9 +262,12 @@ class SharedSpans:
         tasks = width(self.spark)
 
         runs = long.select("cls", "text").mapInArrow(_emit_runs(min_chars), "cls long, run long, pos int, len int, loops boolean")
-        met = Window.partitionBy("run")
-        counted = runs.withColumn("lo", F.min("cls").over(met)).withColumn("hi", F.max("cls").over(met)).withColumn("n", F.when(F.max("loops").over(met), F.lit(MANY)).otherwise(F.count(F.lit(1)).over(met)))
-        shared = materialize(counted.filter("lo <> hi").select("run", "cls", "pos", "len", "n").distinct(), "runs")
+        runs = materialize(runs, "runs")
+        # partial sums come before the shuffle, and only runs met in several texts are joined back, hot ones dealt out
+        met = runs.groupBy("run").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n_refs"), F.max("loops").alias("any_loops"))
+        met = met.filter("lo <> hi").select("run", F.when(F.col("any_loops"), F.lit(MANY)).otherwise(F.col("n_refs")).alias("n"), "n_refs")
+        shared = salted_join(runs.drop("loops"), met, ["run"], "cls")
+        shared = materialize(shared.select("run", "cls", "pos", "len", "n").distinct(), "shared")
 
         firsts = self.members.groupBy("cls").agg(F.min("doc").alias("doc"))
         wanted = shared.groupBy("cls").agg(F.collect_list(F.struct("run", "pos", "len", "n")).alias("runs")).join(firsts, "cls")
@@ -357,8 +361,10 @@ def remove_repeated(docs: DataFrame, key: str, text: str, min_chars: int = MIN_C
 
     kind = flat.schema[0].dataType.simpleString()
     runs = flat.filter(F.length("text") >= min_chars).mapInArrow(emit, f"doc {kind}, run long, pos int, len int")
+    runs = materialize(runs, "runs")
     place = F.struct("doc", "pos")
-    later = runs.withColumn("first", F.min(place).over(Window.partitionBy("run"))).filter(place != F.col("first"))
+    met = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_refs")).filter("n_refs > 1")
+    later = salted_join(runs, met, ["run"], "pos").filter(place != F.col("first"))
     gone = later.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
