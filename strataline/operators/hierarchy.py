@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataline.operators.references import salted_join
 from strataline.session import materialize, table, width
 
 #: Trees up to so many rows are worked on inside one task.
@@ -35,44 +36,49 @@ SCHEMA = "id long, root long, depth int, pre long, size long, state string, path
 STATES = ("ok", "other_file", "broken", "under_cycle", "on_cycle")
 
 
+def _by_key(refs: DataFrame, key: str, *tables: DataFrame) -> DataFrame:
+    """refs with what the tables (key, ...) say of each key, or nulls. A key is looked up once, then dealt out."""
+    keys = refs.groupBy(key).agg(F.count(F.lit(1)).alias("n_refs"))
+    for t in tables:
+        keys = keys.join(t, key, "left")
+    return salted_join(refs, keys, [key], "id")
+
+
 def _label(rows: DataFrame) -> DataFrame:
-    """id, parent, grp, has_parent + tree (label), dist (links to the top; null on or under a cycle).
+    """id, parent, grp, there, crosses + tree (label), dist (links to the top; null on or under a cycle).
 
     rows: id, parent, grp with unique ids.
     """
-    up = rows.select(F.col("id").alias("parent"), F.col("grp").alias("up_grp"))
-    linked = rows.join(up.withColumn("there", F.lit(True)), "parent", "left")
+    up = rows.select(F.col("id").alias("parent"), F.col("grp").alias("up_grp"), F.lit(True).alias("there"))
+    below = _by_key(rows.filter("parent is not null"), "parent", up)
     there = F.coalesce(F.col("there"), F.lit(False))
-    linked = linked.select("id", "parent", "grp", there.alias("there"), (there & ~F.col("grp").eqNullSafe(F.col("up_grp"))).alias("crosses"))
-    linked = materialize(linked, "linked")
-    done = linked.filter("not there").select("id", F.col("id").alias("top"), F.lit(0).alias("dist"))
+    below = below.select("id", "parent", "grp", there.alias("there"), (there & ~F.col("grp").eqNullSafe(F.col("up_grp"))).alias("crosses"))
+    top = rows.filter("parent is null").select("id", "parent", "grp", F.lit(False).alias("there"), F.lit(False).alias("crosses"))
+    linked = materialize(below.unionByName(top), "linked")
+    ended = linked.filter("not there").select("id", F.col("id").alias("top"), F.lit(0).alias("dist"))
     going = linked.filter("there").select("id", F.col("parent").alias("top"), F.lit(1).alias("dist"), F.least("id", "parent").alias("low"))
     going = materialize(going, "going")
-    ended, n, steps, stuck = [done], going.count(), 1, False
+    n, steps, stuck = going.count(), 1, False
     while n and not (stuck and steps >= n):
-        ends = ended[0] if len(ended) == 1 else ended[-1]
         # a row's top has ended in an earlier round, or it is going too
-        for known in ended[:-1] if len(ended) > 1 else []:
-            ends = ends.unionByName(known)
-        via_end = going.join(ends.select(F.col("id").alias("top"), F.col("top").alias("far"), F.col("dist").alias("more")), "top", "left")
-        via = via_end.join(going.select(F.col("id").alias("top"), F.col("top").alias("far2"), F.col("dist").alias("more2"), F.col("low").alias("low2")), "top", "left")
+        at_end = ended.select(F.col("id").alias("top"), F.col("top").alias("far"), F.col("dist").alias("more"))
+        on_way = going.select(F.col("id").alias("top"), F.col("top").alias("far2"), F.col("dist").alias("more2"), F.col("low").alias("low2"))
+        via = _by_key(going, "top", at_end, on_way)
         moved = via.select(
             "id", F.coalesce("far", "far2").alias("top"), (F.col("dist") + F.coalesce("more", "more2")).alias("dist"),
             F.least("low", "low2").alias("low"), F.col("far").isNotNull().alias("ended"),
         )
         moved = materialize(moved, "moved")
-        ended.append(moved.filter("ended").select("id", "top", "dist"))
+        ended = ended.unionByName(moved.filter("ended").select("id", "top", "dist"))
         going = moved.filter("not ended").drop("ended")
         left = going.count()
         # the deepest chain loses rows in every round: once none are lost, all that is left is cyclic
         stuck, n, steps = left == n, left, min(steps * 2, 1 << 30)
-    labels = ended[0].select("id", F.col("top").alias("tree"), "dist")
-    for part in ended[1:]:
-        labels = labels.unionByName(part.select("id", F.col("top").alias("tree"), "dist"))
+    labels = ended.select("id", F.col("top").alias("tree"), "dist")
     if n:
         # after as many steps as there are rows every top lies on its cycle and has seen all of it
         lows = going.select(F.col("id").alias("top"), F.col("low").alias("tree"))
-        labels = labels.unionByName(going.join(lows, "top").select("id", "tree", F.lit(None).cast("int").alias("dist")))
+        labels = labels.unionByName(_by_key(going.select("id", "top"), "top", lows).select("id", "tree", F.lit(None).cast("int").alias("dist")))
     return linked.join(labels, "id")
 
 
@@ -209,9 +215,11 @@ def _wide(rows: DataFrame, with_path: bool) -> DataFrame:
             before = F.coalesce(F.sum("whole").over(Window.partitionBy("parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
             blocks = blocks.select("parent", "block", before.alias("ahead"))
             inside = F.coalesce(F.sum(F.col("size") + 1).over(Window.partitionBy("parent", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            kids = kids.withColumn("inside", inside).join(blocks, ["parent", "block"]).join(extra, "id")
+            # what a parent passes on is joined once for each block of its children, so none is a hot key
             above = level.select(F.col("id").alias("parent"), "root", "depth", F.col("pre").alias("up_pre"), "across", "bare", "path")
-            level = kids.join(above, "parent").select(
+            blocks = blocks.join(above, "parent")
+            kids = kids.withColumn("inside", inside).join(extra, "id")
+            level = kids.join(blocks, ["parent", "block"]).select(
                 "id", "root", (F.col("depth") + 1).alias("depth"), (F.col("up_pre") + 1 + F.col("ahead") + F.col("inside")).alias("pre"), "size",
                 (F.col("across") | F.col("crosses")).alias("across"), "bare", F.array_append("path", F.col("id")).alias("path") if with_path else F.col("path"),
             )
