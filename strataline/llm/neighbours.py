@@ -35,8 +35,8 @@ PROBES = 6
 BLOCK = 8_192
 #: Members of a block that are compared exactly for each query.
 RERANK = 24
-#: Scores held at once in a block.
-SCORES = 4_000_000
+#: Scores, and queries, held at once in a block.
+SCORES, ASKED = 4_000_000, 2_048
 #: More (model, dim) groups than this are refused, as each has a quantiser in memory.
 MOST_GROUPS = 256
 
@@ -153,7 +153,7 @@ class VectorIndex:
                 cell, norms = get(have, "cell").to_numpy(), get(have, "norm").to_numpy()
                 cells, own = np.unique(cell, return_inverse=True)
                 n = min(rerank, len(ids))
-                step = max(1, SCORES // len(ids))
+                step = max(1, min(ASKED, SCORES // len(ids)))
                 for s in range(0, len(asks), step):
                     part = y[s : s + step]
                     small = part.astype(np.float32)
