@@ -186,6 +186,11 @@ def test_file_kinds(spark):
     assert kinds(spark, rows[:1]) == {1: "handwritten"}
 
 
+def test_very_long_heads(spark):
+    rows = [(1, "a.py", "1", "r", "# word\n" * 30_000 + HAND), (2, "b.js", "2", "r", "/* x */\n" * 30_000), (3, "c.js", "3", "r", "[" * 100_000), (4, "d.js", "4", "r", "/* open " * 20_000), (5, "e.py", "5", "r", "\n" * 50_000)]
+    assert kinds(spark, rows)[1] == "handwritten" and len(kinds(spark, rows)) == 5
+
+
 def test_edited_copy_in_another_repository(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9)))
