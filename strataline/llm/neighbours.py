@@ -36,7 +36,7 @@ BLOCK = 8_192
 #: Members of a block that are compared exactly for each query.
 RERANK = 24
 #: Scores, and queries, held at once in a block.
-SCORES, ASKED = 4_000_000, 2_048
+SCORES, ASKED = 4_000_000, 512
 #: More (model, dim) groups than this are refused, as each has a quantiser in memory.
 MOST_GROUPS = 256
 

@@ -99,13 +99,13 @@ class Quantiser:
         return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Look-up tables: queries x BOOKS x words."""
-        return np.einsum("qd,bwd->qbw", q, self.books, optimize=True).astype(np.float32)
+        """Look-up tables: BOOKS x words x queries, so that a look-up is one row for all queries."""
+        return (self.books.reshape(-1, q.shape[1]) @ np.ascontiguousarray(q.T)).reshape(*self.books.shape[:2], len(q))
 
     def scores(self, tables: np.ndarray, on_coarse: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosines, queries x members. on_coarse: the queries' products with the members' centres."""
-        total = on_coarse.astype(np.float32, copy=True)
+        total = np.ascontiguousarray(on_coarse.T, dtype=np.float32)
         for b in range(BOOKS):
-            total += np.take(tables[:, b], codes[:, b], axis=1)
-        total /= norms
-        return total
+            total += tables[b][codes[:, b]]
+        total /= norms[:, None]
+        return np.ascontiguousarray(total.T)
