@@ -221,4 +221,19 @@ def p2_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_knn": p2_knn}
-SQL: dict[str, str] = {}
+# brute force: fit for tables up to some ten thousand vectors
+SQL = {
+    "p2_found": """
+with u as materialized (
+  select node_id, model, dim, min(vec)::double[] as vec from node_embeddings
+  where node_id is not null and model is not null and len(vec) = dim and list_bool_and(list_transform(vec, lambda x: isfinite(x))) and list_bool_or(list_transform(vec, lambda x: x <> 0))
+  group by node_id, model, dim
+),
+near as (
+  select a.node_id as x, b.node_id as y, a.model, a.dim, case when a.vec = b.vec then 1.0::double else round(list_cosine_similarity(a.vec, b.vec), 9) end as c
+  from u a join u b on a.model = b.model and a.dim = b.dim and a.node_id <> b.node_id
+),
+ranked as (select *, row_number() over (partition by x, model, dim order by c desc, y) as k from near where c >= 0.9)
+select distinct least(x, y) as node_a, greatest(x, y) as node_b from ranked where k <= 5
+""",
+}

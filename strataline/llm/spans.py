@@ -407,4 +407,30 @@ def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_shared": p8_shared, "p8_classes": p8_classes, "p8_kept": p8_kept}
-SQL: dict[str, str] = {}
+# brute force over every passage of 200 characters: fit for corpora of some million characters
+_PASSAGES = """
+with p as materialized (
+  select doc_id, i, md5(substr(text, i, 200)) as h
+  from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)
+)
+"""
+SQL = {
+    "p8_found": _PASSAGES
+    + """, d as (select distinct doc_id, h from p where h in (select h from p group by h having min(doc_id) <> max(doc_id)))
+select distinct a.doc_id as doc_a, b.doc_id as doc_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id""",
+    "p8_classes": _PASSAGES
+    + """, d as (select distinct doc_id, h from p where h in (select h from p group by h having min(doc_id) <> max(doc_id))),
+c as (select doc_id, min(doc_id) over (partition by text) as class, count(*) over (partition by text) as n_copies from documents where length(text) >= 200),
+linked as (select distinct a.doc_id as x, b.doc_id as y from d a join d b on a.h = b.h and a.doc_id <> b.doc_id),
+l as (select cx.class, count(distinct cy.class) as n from linked join c cx on cx.doc_id = x join c cy on cy.doc_id = y where cx.class <> cy.class group by cx.class)
+select c.doc_id, c.class, c.n_copies, coalesce(l.n, 0) as n_links from c left join l on l.class = c.class""",
+    "p8_shared": _PASSAGES
+    + """, s as (select doc_id, i from p where h in (select h from p group by h having min(doc_id) <> max(doc_id))),
+starts as (select *, case when i - lag(i) over w <= 200 then 0 else 1 end as fresh from s window w as (partition by doc_id order by i)),
+parts as (select *, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as part from starts),
+runs as (select doc_id, min(i) - 1 as lo, max(i) + 199 as hi from parts group by doc_id, part),
+per_doc as (select doc_id, sum(hi - lo)::bigint as n, string_agg(lo || '-' || hi, ',' order by lo) as spans from runs group by doc_id)
+select d.doc_id, coalesce(length(text), 0)::bigint as n_chars, coalesce(n, 0) as shared_chars,
+       case when length(text) > 0 then coalesce(n, 0) / length(text)::double else 0.0::double end as shared, coalesce(spans, '') as spans
+from documents d left join per_doc using (doc_id)""",
+}
