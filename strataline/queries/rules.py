@@ -112,3 +112,6 @@ SQL = {
     "pr10_rules_table": " union all ".join(
         "select {}, {}, {}, {}, {}".format(*(f"'{v}' as \"{k}\"" if v is not None else f'null as "{k}"' for k, v in (("id", r["id"]), ("severity", r["severity"]), ("kind", r["verification"]["kind"]), ("from", r["verification"]["rule"].get("from")), ("to", r["verification"]["rule"].get("to"))))) for r in RULES),
 }
+# the status of each rule, counted; no rule of this set is skipped
+_n = "count_if(status = '{0}')::bigint as {0}"
+SQL["a11_verify_summary"] = f"select count(*) as evaluated, {', '.join(_n.format(s) for s in ('passed', 'failed', 'unknown', 'skipped'))} from ({SQL['g12_verify']})"
