@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from strataline.operators.blocks import chunk_pairs, pairs_of_arrays
 from strataline.operators.references import salted_join
-from strataline.session import materialize, table, width
+from strataline.session import materialize, table
 
 MIN_CHARS = 200
 GRAM = 8
@@ -259,7 +259,6 @@ class SharedSpans:
         self.docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
         long = self.docs.filter(F.length("text") >= min_chars).withColumn("cls", F.xxhash64("text"))
         self.members = materialize(long.select("doc", "cls").distinct(), "members")
-        tasks = width(self.spark)
 
         runs = long.select("cls", "text").mapInArrow(_emit_runs(min_chars), "cls long, run long, pos int, len int, loops boolean")
         runs = materialize(runs, "runs")
@@ -280,7 +279,7 @@ class SharedSpans:
         self.linked = materialize(linked.distinct(), "linked")
         many = around.filter(F.col("n") > FEW).select("cls", "pos", "body").mapInArrow(_passages(min_chars), "cls long, passage long, pos int").distinct()
         ends = many.groupBy("passage").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-        self.grouped = materialize(many.join(ends.select("passage"), "passage").repartition(tasks, "passage"), "grouped")
+        self.grouped = materialize(many.join(ends.select("passage"), "passage"), "grouped")
 
     def class_pairs(self) -> DataFrame:
         """a, b: classes of equal texts that share a passage, a < b."""
