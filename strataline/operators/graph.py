@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.session import materialize, width
+from strataline.session import materialize
 
 #: Edges of a scope that one task may hold.
 SCOPE_EDGES = 500_000
@@ -224,7 +224,7 @@ def strong_components(edges: DataFrame, scope: str, limit: int = SCOPE_EDGES) ->
     """scope, node, scc (its least node), size: nodes of components of two or more. edges: scope, src, dst (ids)."""
     small, wide = _split(edges, scope, limit)
     schema = pa.schema([("scope", pa.string()), ("node", pa.int64()), ("scc", pa.int64()), ("size", pa.int32())])
-    dealt = small.repartition(width(edges.sparkSession), "scope").sortWithinPartitions("scope")
+    dealt = small.repartition("scope").sortWithinPartitions("scope")
     out = dealt.mapInArrow(_scoped(_find_parts, schema), "scope string, node long, scc long, size int")
     return out if wide is None else out.unionByName(_wide_parts(wide))
 
@@ -238,7 +238,7 @@ def shortest_cycles(edges: DataFrame, scope: str, limit: int = SCOPE_EDGES) -> D
     small, wide = _split(edges, scope, limit)
     schema = pa.schema([("scope", pa.string()), ("scc", pa.int64()), ("size", pa.int32()), ("cycle", pa.list_(pa.int64()))])
     ddl = "scope string, scc long, size int, cycle array<long>"
-    dealt = small.repartition(width(edges.sparkSession), "scope").sortWithinPartitions("scope")
+    dealt = small.repartition("scope").sortWithinPartitions("scope")
     out = dealt.mapInArrow(_scoped(_find_cycles, schema), ddl)
     if wide is None:
         return out
@@ -247,6 +247,6 @@ def shortest_cycles(edges: DataFrame, scope: str, limit: int = SCOPE_EDGES) -> D
     b = parts.select("scope", F.col("node").alias("dst"), F.col("scc").alias("scc2"))
     inner = wide.join(a, ["scope", "src"]).join(b, ["scope", "dst"]).filter("scc = scc2")
     named = inner.select(F.concat_ws("\x00", "scope", F.col("scc").cast("string")).alias("key"), "src", "dst")
-    dealt = named.repartition(width(edges.sparkSession), "key").sortWithinPartitions("key")
+    dealt = named.repartition("key").sortWithinPartitions("key")
     found = dealt.mapInArrow(_scoped(_find_cycles, schema), ddl)
     return out.unionByName(found.withColumn("scope", F.substring_index("scope", "\x00", 1)))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataline.operators.references import salted_join
-from strataline.session import materialize, table, width
+from strataline.session import materialize, table
 
 #: Trees up to so many rows are worked on inside one task.
 TREE_ROWS = 200_000
@@ -273,8 +273,7 @@ def hierarchy(
     cols = ["id", "parent", "there", "crosses", "tree"]
     # more large trees than rows / tree_rows there cannot be; without any, no join is made
     small = rows.join(large, "tree", "left_anti") if n_large else rows
-    tasks = max(width(df.sparkSession), 1)
-    out = small.select(*cols).repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(_batches(with_path), schema)
+    out = small.select(*cols).repartition("tree").sortWithinPartitions("tree").mapInArrow(_batches(with_path), schema)
     if n_large:
         wide = _wide(rows.join(large, "tree", "left_semi"), with_path)
         out = out.unionByName(wide if with_path else wide.drop("path"))
