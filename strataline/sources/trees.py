@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Larger files are not read.
 MAX_BYTES = 1_500_000
 # Folders that are not entered, and extensions of each language.
-SKIPPED = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".venv", "venv", "__pycache__", "target", "vendor", ".idea", ".vscode", ".cache")
+SKIPPED = (".git", "node_modules", "dist", "build", ".next", "out", "coverage", "__pycache__", ".venv", "venv", ".mypy_cache", ".pytest_cache", "vendor", "target", ".turbo", ".cache")
 EXTENSIONS = {"python": ("py", "pyi"), "javascript": ("js", "jsx", "mjs", "cjs"), "typescript": ("ts", "tsx", "mts", "cts")}
 
 SYMBOLS = "array<struct<name:string,kind:string,start_line:int,end_line:int,start_byte:int,end_byte:int,parent:int,signature:string>>"
