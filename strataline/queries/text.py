@@ -101,9 +101,15 @@ def j16_near_names(spark, sf_dir):
     return near_names(e, n, "name")
 
 
+def j16_near_names_all(spark, sf_dir):
+    """Names called in no definition, with defined names within two edits; names of any length and script."""
+    e = model.edges(spark, sf_dir, "dst_name", "kind").filter("kind = 'call'").select(F.col("dst_name").alias("name"))
+    return near_names(e, model.nodes(spark, sf_dir, "name").select("name"), "name")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (f1_tokenize, f2_embed, g3_recall, g3_recall_vector, f3_cosine_to_first, f4_blob, f5_sha256, f6_edit_distance, f8_groups, f11_uri, f13_target_path, f15_signature, f18_is_newer, f21_json_payload, j16_near_names)
+    for f in (f1_tokenize, f2_embed, g3_recall, g3_recall_vector, f3_cosine_to_first, f4_blob, f5_sha256, f6_edit_distance, f8_groups, f11_uri, f13_target_path, f15_signature, f18_is_newer, f21_json_payload, j16_near_names, j16_near_names_all)
 }
 
 _TOKENS = "list_filter(list_transform(string_split_regex(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) > 1)"

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,50 @@ def test_near_names(spark):
     assert sorted(tuple(r) for r in near_names(a, b, "n").collect()) == [("", "ab", 2), ("serach", "search", 2), ("serch", "search", 1)]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_near_names_of_any_length_and_script(spark, most, monkeypatch):
+    monkeypatch.setattr("strataline.operators.near_names.SHORT", 9)
+    r = random.Random(most)
+    letters = "abéñ日𝒳_"
+    goal = {"".join(r.choice(letters) for _ in range(n)) for n in range(1, 45) for _ in range(3)}
+    lone = set()
+    for s in goal:
+        for _ in range(4):
+            t = list(s)
+            for _ in range(r.randint(1, most + 1)):
+                k = r.randrange(len(t) + 1)
+                t[k : k + r.randint(0, 1)] = [r.choice(letters)] * r.randint(0, 1)
+            lone.add("".join(t))
+    want = sorted((a, b, d) for a in lone - goal for b in goal if abs(len(a) - len(b)) <= most and (d := edits(a, b)) <= most)
+    a, b = (spark.createDataFrame([(s,) for s in sorted(x)], "n string") for x in (lone, goal))
+    assert sorted(tuple(x) for x in near_names(a, b, "n", most).collect()) == want and max(len(a) for a, *_ in want) > 40
+
+
+def test_near_names_of_a_very_long_name(spark):
+    name = "ab" * 4_000
+    a, b = spark.createDataFrame([(name[:10] + "é" + name[10:-1],)], "n string"), spark.createDataFrame([(name,)], "n string")
+    assert [(r.distance, len(r.near)) for r in near_names(a, b, "n").collect()] == [(2, 8_000)]
+
+
+def test_near_names_query_leaves_no_name_out(spark, tmp_path):
+    from strataline.queries.text import j16_near_names_all
+
+    node = [(1, "größenänderungsereignis_behandeln"), (2, "findAllOpenTransactionsOfCustomer"), (3, "load")]
+    spark.createDataFrame(node, "id long, name string").write.parquet(str(tmp_path / "nodes.parquet"))
+    edge = [(1, "größenänderungsereignis_behandel", "call"), (2, "findAllOpenTransactionOfCustomers", "call"), (3, "laod", "call"), (4, "lod", "import")]
+    spark.createDataFrame(edge, "id long, dst_name string, kind string").write.parquet(str(tmp_path / "edges.parquet"))
+    assert sorted((r.name[:4], r.distance) for r in j16_near_names_all(spark, str(tmp_path)).collect()) == [("find", 2), ("größ", 1), ("laod", 2)]
+
+
 def law(kind="deps", severity="error", **rule):
     return {"id": f"{kind}-{len(rule)}-{severity}", "severity": severity, "scope": ["src/**"], "prose": "text", "enforcement": "block", "source": {"file": "R.md", "line": 4}, "verification": {"kind": kind, "rule": rule}}
 
