@@ -6,7 +6,9 @@
 3. A query visits its nearest cells. Cells are cut to blocks of members and of queries, so a
    cell that holds a third of all vectors is worked on by many tasks; no pair is skipped.
 4. In a block, look-up tables score all members; the best ``RERANK`` of them are compared
-   exactly. The best of all blocks are the result, and members of classes are put back.
+   exactly, and then every other member whose score and code error allow it to come before the
+   k-th of them. Where that leaves many, the query is compared with the whole block. The best
+   of all blocks are the result, and members of classes are put back.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataline.llm.quantiser import BOOKS, Quantiser
+from strataline.llm.quantiser import BOOKS, Quantiser, may_reach
 from strataline.operators.references import salted_join
 from strataline.session import materialize, table
 
@@ -33,8 +35,10 @@ CELL, MOST_CELLS = 768, 4_096
 PROBES = 6
 #: Members and queries in one block of a cell.
 BLOCK = 8_192
-#: Members of a block that are compared exactly for each query.
+#: Members of a block that are compared exactly first for each query.
 RERANK = 24
+#: Share of a block's members from which a query is compared with all of them, and pairs compared at once below it.
+WHOLE, PAIRS = 1 / 32, 16_384
 #: Scores, and queries, held at once in a block.
 SCORES, ASKED = 4_000_000, 512
 #: More (model, dim) groups than this are refused, as each has a quantiser in memory.
@@ -61,6 +65,25 @@ def _unit(lists: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _compared(asks: np.ndarray, x: np.ndarray, wanted: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """rows, members, cosines: the wanted pairs of asks and x; all pairs of the rows in ``many``. A row is in one part only."""
+    whole = np.flatnonzero(many)
+    for k in range(0, len(whole), 128):
+        rows = whole[k : k + 128]
+        value = asks[rows] @ x.T
+        at = wanted[rows].nonzero()
+        yield rows[at[0]], at[1], value[at]
+    some = np.flatnonzero(~many)
+    if len(some):
+        row, at = wanted[some].nonzero()
+        row = some[row]
+        value = np.empty(len(row))
+        for k in range(0, len(row), PAIRS):
+            p = slice(k, k + PAIRS)
+            value[p] = np.einsum("nd,nd->n", asks[row[p]], x[at[p]])
+        yield row, at, value
+
+
 class VectorIndex:
     """Coded classes of a table of vectors, see the module.
 
@@ -152,22 +175,30 @@ class VectorIndex:
                 codes = np.frombuffer(b"".join(get(have, "codes").to_pylist()), np.uint8).reshape(-1, BOOKS)
                 cell, norms = get(have, "cell").to_numpy(), get(have, "norm").to_numpy()
                 cells, own = np.unique(cell, return_inverse=True)
+                fits = q.fits(x, cell, codes)
                 n = min(rerank, len(ids))
                 step = max(1, min(ASKED, SCORES // len(ids)))
                 for s in range(0, len(asks), step):
-                    part = y[s : s + step]
+                    part, own_ids = y[s : s + step], asks[s : s + step]
                     small = part.astype(np.float32)
                     near = q.scores(q.tables(small), (small @ q.coarse[cells].T)[:, own], codes, norms)
                     best = np.argpartition(-near, n - 1, axis=1)[:, :n]
                     exact = np.einsum("qd,qnd->qn", part, x[best])
-                    exact[ids[best] == asks[s : s + step, None]] = -2
-                    top = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                    row = np.arange(len(part))[:, None]
-                    value, other = exact[row, top], ids[best[row, top]]
-                    ok = value >= max(least - 1e-9, -1.5)
-                    out[0].append(np.broadcast_to(asks[s : s + step, None], ok.shape)[ok])
-                    out[1].append(other[ok])
-                    out[2].append(value[ok])
+                    exact[ids[best] == own_ids[:, None]] = -2
+                    kth = -np.partition(-exact, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(part), -2.0)
+                    left_open = may_reach(near, norms, fits, np.maximum(kth, least))
+                    left_open[np.arange(len(part))[:, None], best] = True
+                    many = left_open.sum(axis=1) > max(n, WHOLE * len(ids))
+                    for rows, at, value in _compared(part, x, left_open, many):
+                        value = np.where(ids[at] == own_ids[rows], -2.0, value)
+                        ok = value >= max(least - 1e-9, -1.5)
+                        rows, at, value = rows[ok], at[ok], value[ok]
+                        order = np.lexsort((ids[at], -value, rows))
+                        rows, at, value = rows[order], at[order], value[order]
+                        first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                        out[0].append(own_ids[rows[first]])
+                        out[1].append(ids[at[first]])
+                        out[2].append(value[first])
             if not out[0]:
                 return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["cls", "other", "cosine"])
             return pa.table([np.concatenate(o) for o in out], names=["cls", "other", "cosine"])

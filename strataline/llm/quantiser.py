@@ -16,6 +16,8 @@ BOOKS = 8
 WORDS = 64
 BEAM = 4
 LLOYD = 8
+#: Error that single precision may leave in a score, and the norm of a code's sum under which it may leave more.
+SLACK, WEAK = 1e-4, 0.05
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -88,6 +90,17 @@ class Quantiser:
             norms[part] = np.maximum(np.linalg.norm(x[part] - left[row, at], axis=1), 1e-6)
         return cell, codes, norms
 
+    def fits(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Cosines of unit rows and their codes' sums."""
+        out = np.empty(len(x))
+        for k in range(0, len(x), 2048):
+            part = slice(k, k + 2048)
+            near = self.coarse[cell[part]].astype(np.float64)
+            for b in range(BOOKS):
+                near += self.books[b][codes[part, b]]
+            out[part] = (x[part] * near).sum(1) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
+        return np.clip(out, -1, 1)
+
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest cells of each row."""
         n = min(n, len(self.coarse))
@@ -109,3 +122,17 @@ class Quantiser:
             total += tables[b][codes[:, b]]
         total /= norms[:, None]
         return np.ascontiguousarray(total.T)
+
+
+def may_reach(scores: np.ndarray, norms: np.ndarray, fits: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    """Queries x members: whether the exact cosine may be the query's goal or more.
+
+    The angle to a member is at least the one to its code less the one between both, so the
+    score must be cos(arccos(goal) + arccos(fit)) or more. Where that says nothing all members are open.
+    """
+    t = np.clip(goals, -1, 1)
+    least = np.stack([t, -np.sqrt(1 - t * t)], axis=1) @ np.stack([fits, np.sqrt(1 - fits * fits)])
+    found = scores >= least - SLACK
+    found[:, norms < WEAK] = True
+    found[t < -fits.min()] = True
+    return found

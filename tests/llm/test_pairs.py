@@ -11,7 +11,7 @@ from strataline.llm import spans as S
 from strataline.llm.cooccurrence import associated_pairs
 from strataline.llm.handwritten import classify_files
 from strataline.llm.neighbours import VectorIndex, p2_found
-from strataline.llm.quantiser import BOOKS, Quantiser
+from strataline.llm.quantiser import BOOKS, Quantiser, may_reach
 from strataline.session import table
 
 
@@ -87,6 +87,30 @@ def test_neighbours_against_brute_force(spark):
     assert VectorIndex(df.limit(0)).neighbours(5).count() == 0
 
 
+def test_neighbours_in_a_hot_group_of_near_copies(spark):
+    r = np.random.default_rng(9)
+    centre = unit(r.normal(size=(1, 32)))
+    x = np.concatenate([unit(r.normal(size=(4000, 32))), unit(centre + 0.2 * r.normal(size=(2000, 32)) / np.sqrt(32))]).astype(np.float32)
+    sim = unit(x.astype(float)) @ unit(x.astype(float)).T
+    np.fill_diagonal(sim, -2)
+    want = {(i, j) for i, row in enumerate(sim) for j in np.argsort(-row)[:5].tolist() if row[j] >= 0.9}
+    df = spark.createDataFrame([(i, "m", 32, v.tolist()) for i, v in enumerate(x)], "node_id long, model string, dim int, vec array<float>")
+    got = {(n.node_id, n.other_id) for n in VectorIndex(df).neighbours(5, 0.9).collect()}
+    assert len(want) >= 10_000 and len(got & want) >= 0.99 * len(want)
+
+
+def test_bound_leaves_no_near_member_out():
+    r = np.random.default_rng(5)
+    x = unit(np.concatenate([r.normal(size=(500, 16)), r.normal(size=16) + 0.2 * r.normal(size=(500, 16))]))
+    q = Quantiser.train(x.astype(np.float32), 4)
+    cell, codes, norms = q.encode(x.astype(np.float32))
+    small = x[::7].astype(np.float32)
+    scores = q.scores(q.tables(small), small @ q.coarse[cell].T, codes, norms)
+    for goal in (-0.9, -0.2, 0.3, 0.9, 0.99):
+        kept = may_reach(scores, norms, q.fits(x, cell, codes), np.full(len(small), goal))
+        assert kept[x[::7] @ x.T >= goal].all() and (goal < 0.9 or not kept.all())
+
+
 def test_recall_on_the_data(spark, sf_dir):
     groups = {}
     for r in table(spark, sf_dir, "node_embeddings").collect():
