@@ -2,10 +2,10 @@
 
 1. Known copies: the hash is one of a published third-party file.
 2. Edited copies: heads are cut to lines without the leading comment, and an inverted index
-   of line hashes is built. Lines of one repository only drop out. Every other line proposes
-   two of its files, of different repositories, to each file that holds it, so that a line in
-   a million files gives two million proposals and not their square. For each proposed pair
-   the share of the file's lines that the other holds is computed exactly.
+   of line hashes is built. Files of equal lines are one class. A class looks for the holders
+   of its rarest lines, so many that a file with a large enough share of its lines holds one
+   of them (prefix filter); lines of one repository only drop out. For each proposed pair the
+   share of the file's lines that the other holds is computed exactly.
 3. Banners and placing: the leading comment or the folder of a package names a package.
 4. What is left is judged by composition: generator's notes, generated names, numbered or
    repeated line shapes, line length and white space, and the share of data tokens.
@@ -25,6 +25,8 @@ from strataline.session import materialize, table
 LINE_CHARS = 12
 #: A file is an edited copy if it shares so many lines and such a share of them with one in another repository.
 SHARED_LINES, SHARED_PART = 4, 0.5
+#: Holders of a line, and classes that look for it, whose pairs are made together.
+HOLDERS = 2_048
 #: A line so long with so little white space is not written by hand.
 LONG_LINE, LOOSE = 320, 0.14
 #: Bytes for each line beyond which lines are packed.
@@ -96,22 +98,42 @@ def edited_copies(lines: DataFrame) -> DataFrame:
     """id, copied_from: files with a large share of their lines in a file of another repository.
 
     lines: id, repo, lines (array). Of several sources the one with most shared lines is named.
+    A file without a repository is no evidence. No pair is left out: of n lines of which t must be
+    shared, any n - t + 1 hold a shared one, so a file need only look for its rarest n - t + 1 lines.
     """
-    bags = materialize(lines.select("id", "repo", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("bag")), "bags")
-    hashed = bags.select("id", "repo", F.explode("bag").alias("line"))
+    bag = F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))))
+    files = lines.filter("repo is not null").select("id", "repo", bag.alias("bag")).withColumn("cls", F.xxhash64("bag"))
+    files = materialize(files, "bags")
+    # files of equal lines are one class; its least and greatest (repo, id) have a file of another repository than any given one
     at = F.struct("repo", "id")
-    # the index: partial sums come before the shuffle; a line in very many files is dealt out when it is joined back
-    index = hashed.groupBy("line").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n_refs")).filter("lo.repo <> hi.repo")
-    met = salted_join(hashed, index, ["line"], "id")
-    proposed = met.select("id", F.explode(F.array("lo", "hi")).alias("other"), "repo").filter("other.repo <> repo").select("id", F.col("other.id").alias("other"))
-    proposed = materialize(proposed.groupBy("id", "other").agg(F.count(F.lit(1)).alias("seen")), "proposed")
-    bags = bags.select("id", "bag")
-    # files are proposed to many others: their lines are joined once for each proposed file, then dealt out
-    goals = proposed.groupBy("other").agg(F.count(F.lit(1)).alias("n_refs")).join(bags.select(F.col("id").alias("other"), F.col("bag").alias("bag2")), "other")
-    both = salted_join(proposed, goals, ["other"], "id").join(bags, "id")
+    bags = materialize(files.groupBy("cls").agg(F.first("bag").alias("bag"), F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n_refs")), "classes")
+    need = F.greatest(F.lit(SHARED_LINES), F.ceil(F.size("bag") * F.lit(SHARED_PART))).cast("int")
+    hashed = bags.select("cls", F.explode("bag").alias("line"), "lo", "hi", F.size("bag").alias("n"), need.alias("need"))
+    index = hashed.groupBy("line").agg((F.min("lo.repo") < F.max("hi.repo")).alias("two"), F.count(F.lit(1)).alias("n_refs")).withColumn("held", F.col("n_refs"))
+    met = salted_join(hashed.drop("lo", "hi"), index, ["line"], "cls")
+    met = materialize(met, "met")
+    asks = met.filter("n >= need").groupBy("cls", "n", "need").agg(F.collect_list(F.struct("held", "line", "two")).alias("all"))
+    asks = asks.select("cls", "need", F.explode(F.expr("slice(array_sort(all), 1, n - need + 1)")).alias("l")).filter("l.two").select("cls", "need", "l.line", "l.held")
+    # the pairs of a line are worked on in blocks of at most HOLDERS x HOLDERS
+    blocks = F.ceil(F.col("held") / F.lit(float(HOLDERS))).cast("int")
+    own, every = F.pmod(F.xxhash64("cls", F.lit(3)), blocks), F.explode(F.sequence(F.lit(0), blocks - 1))
+    asks = asks.withColumn("a", own.cast("int")).withColumn("b", every).drop("held")
+    holders = met.filter("two").withColumn("b", own.cast("int")).withColumn("a", every).select("line", "a", "b", F.col("cls").alias("other"), F.col("n").alias("size"))
+    proposed = asks.join(holders, ["line", "a", "b"]).filter("size >= need").select("cls", "other").distinct()
+    proposed = materialize(proposed, "proposed")
+    # classes are proposed to many others: their lines are joined once for each proposed class, then dealt out
+    goals = proposed.groupBy("other").agg(F.count(F.lit(1)).alias("n_refs")).join(bags.select(F.col("cls").alias("other"), F.col("bag").alias("bag2"), "lo", "hi"), "other")
+    both = salted_join(proposed, goals, ["other"], "cls").join(bags.select("cls", "bag"), "cls")
     shared = F.size(F.array_intersect("bag", "bag2"))
     close = both.withColumn("shared", shared).filter((F.col("shared") >= SHARED_LINES) & (F.col("shared") >= F.size("bag") * SHARED_PART))
-    return close.groupBy("id").agg(F.max(F.struct("shared", "other"))["other"].alias("copied_from"))
+    found = close.select("cls", "shared", F.explode(F.array("lo", "hi")).alias("o")).select("cls", F.struct("shared", "o.id", "o.repo").alias("o"))
+    found = materialize(found, "sources")
+    # the best source of a class, and the best of another repository than that one's
+    best = found.groupBy("cls").agg(F.max("o").alias("best"))
+    next_best = found.join(best, "cls").filter("o.repo <> best.repo").groupBy("cls").agg(F.max("o").alias("next"))
+    best = best.join(next_best, "cls", "left").join(bags.select("cls", "n_refs"), "cls")
+    named = salted_join(files.select("id", "repo", "cls"), best, ["cls"], "id")
+    return named.select("id", F.when(F.col("best.repo") != F.col("repo"), F.col("best.id")).otherwise(F.col("next.id")).alias("copied_from")).filter("copied_from is not null")
 
 
 def _folder(path: Column) -> Column:

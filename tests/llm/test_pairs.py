@@ -9,7 +9,7 @@ import pytest
 
 from strataline.llm import spans as S
 from strataline.llm.cooccurrence import associated_pairs
-from strataline.llm.handwritten import classify_files
+from strataline.llm.handwritten import classify_files, edited_copies
 from strataline.llm.neighbours import VectorIndex, p2_found
 from strataline.llm.quantiser import BOOKS, Quantiser, may_reach
 from strataline.session import table
@@ -223,3 +223,28 @@ def test_edited_copy_in_another_repository(spark):
     own = [f"let {word()} = {word()}({word()});" for _ in range(12)]
     rows = [(1, "a/x.js", "1", "r1", "\n".join(lines)), (2, "b/y.js", "2", "r2", "\n".join(edited)), (3, "c/z.js", "3", "r3", "\n".join(own)), (4, "d/w.js", "4", "r3", "\n".join(own[:6] + lines[:1] + own[7:]))]
     assert kinds(spark, rows) == {1: "vendored", 2: "vendored", 3: "handwritten", 4: "handwritten"}
+
+
+def test_edited_copy_whose_lines_stand_in_other_files(spark):
+    lines = [f"const shared{i:02} = compute(alpha, beta{i:02});" for i in range(8)]
+    rows = [(1, "m", lines), (2, "n", lines[:4] + ["let inserted = patched(here);"] + lines[4:])]
+    rows += [(10 + i, "a", [line, *(f"let aaa{i}{k} = own();" for k in range(9))]) for i, line in enumerate(lines)]
+    rows += [(30 + i, "z", [line, *(f"let zzz{i}{k} = own();" for k in range(9))]) for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "id long, repo string, lines array<string>")
+    assert {r.id: r.copied_from for r in edited_copies(df).collect()} == {1: 2, 2: 1}
+
+
+@pytest.mark.parametrize("block", [2_048, 3])
+def test_edited_copies_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr("strataline.llm.handwritten.HOLDERS", block)
+    r = random.Random(12)
+    bags = [sorted(r.sample(range(30), r.randint(4, 14)), key=lambda k: r.random()) for _ in range(60)]
+    rows = [(i, r.choice(["a", "b", "c", None]), [f"line number {k}" for k in r.choice(bags)]) for i in range(150)]
+    held = {i: (repo, set(lines)) for i, repo, lines in rows if repo}
+    want = {}
+    for i, (repo, bag) in held.items():
+        found = [len(bag & other) for k, (at, other) in held.items() if at != repo and len(bag & other) >= max(4, len(bag) / 2)]
+        if found:
+            want[i] = max(found)
+    got = {x.id: x.copied_from for x in edited_copies(spark.createDataFrame(rows, "id long, repo string, lines array<string>")).collect()}
+    assert {i: len(held[i][1] & held[k][1]) for i, k in got.items()} == want and all(held[i][0] != held[k][0] for i, k in got.items())
