@@ -124,14 +124,37 @@ def to_sarif(report: Report, rules: list[dict], version: str = "1.0.0", tool: st
     }
 
 
-def to_markdown(report: Report, limit: int = SARIF_CAP) -> str:
-    """A summary, a table of findings and the rules that were not evaluated."""
+def in_order(findings: DataFrame) -> DataFrame:
+    """All findings by severity, then rule, place and detail."""
+    return findings.orderBy(F.desc(severity_rank()), "rule_id", "repo", "file", "line", "detail", "message")
+
+
+def markdown_rows(findings: DataFrame) -> DataFrame:
+    """row: a line of the table of findings for each of them, in order. A distributed table, for a report of any size."""
+    line = F.when(F.coalesce("line", F.lit(0)) != 0, F.concat(F.lit(":"), F.col("line").cast("string"))).otherwise("")
+    text = lambda c: F.coalesce(c, F.lit("None"))
+    return in_order(findings).select(F.concat(F.lit("| `"), text("rule_id"), F.lit("` | "), text("severity"), F.lit(" | `"), text("file"), line, F.lit("` |")).alias("row"))
+
+
+def json_rows(findings: DataFrame) -> DataFrame:
+    """row: one JSON object for each finding, in order. A distributed table, for a report of any size."""
+    return in_order(findings).select(F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"}).alias("row"))
+
+
+def to_markdown(report: Report, limit: int | None = None) -> str:
+    """A summary, a table of findings and the rules that were not evaluated.
+
+    All findings by default, which the driver then holds as text; with a limit the first ones, and a notice of how many are left out.
+    """
     s = report.summary().first()
     lines = ["## Rule verification", "", f"**{s['passed']}** passed · **{s['failed']}** failed · **{s['skipped']}** skipped · **{s['unknown']}** unknown", ""]
-    rows = report.findings.orderBy(F.desc(severity_rank()), "rule_id", "repo", "file", "line").limit(limit).collect()
-    if rows:
-        lines += ["### Findings", "", "| Rule | Severity | Location |", "| :-- | :-- | :-- |"]
-        lines += [f"| `{r['rule_id']}` | {r['severity']} | `{r['file']}{':' + str(r['line']) if r['line'] else ''}` |" for r in rows] + [""]
+    table = markdown_rows(report.findings)
+    rows = [r["row"] for r in (table if limit is None else table.limit(limit)).toLocalIterator()]
+    left_out = 0 if limit is None else report.findings.count() - len(rows)
+    if rows or left_out:
+        lines += ["### Findings", "", "| Rule | Severity | Location |", "| :-- | :-- | :-- |", *rows, ""]
+    if left_out:
+        lines += [f"{left_out} more findings are left out (limit {limit}).", ""]
     skipped = report.statuses.filter("status = 'skipped'").orderBy("rule_id").collect()
     if skipped:
         lines += ["### Not evaluated", ""] + [f"- `{r['rule_id']}`: {r['detail']}" for r in skipped] + [""]
@@ -139,10 +162,10 @@ def to_markdown(report: Report, limit: int = SARIF_CAP) -> str:
 
 
 def to_json(report: Report) -> str:
-    """The whole report as one JSON document."""
+    """The whole report as one JSON document, which the driver holds as text; see json_rows for very many findings."""
     return json.dumps(
         {
-            "schemaVersion": 1, "summary": report.summary().first().asDict(), "findings": [r.asDict() for r in report.findings.limit(SARIF_CAP).collect()],
+            "schemaVersion": 1, "summary": report.summary().first().asDict(), "findings": [json.loads(r["row"]) for r in json_rows(report.findings).toLocalIterator()],
             "statuses": [r.asDict() for r in report.statuses.orderBy("rule_id").collect()],
         },
         ensure_ascii=False, indent=2,

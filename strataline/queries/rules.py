@@ -1,14 +1,12 @@
 """Rules over the file graph: dependency, cycle, reachability, a whole run and its SARIF."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from strataline import model
 from strataline.model import sql
 from strataline.operators import code_graph as G
 from strataline.operators.rules import dependency_findings, reach_findings
-from strataline.plans.verify import exit_code, sarif_results, to_markdown, verify
+from strataline.plans.verify import exit_code, json_rows, markdown_rows, sarif_results, verify
 from strataline.queries.traversal import _REACH, G_SQL, R, _tables
 from strataline.sources.rules import rules_frame
 
@@ -70,7 +68,13 @@ def k4_sarif_results(spark, sf_dir):
 
 
 def k5_markdown(spark, sf_dir):
-    return spark.createDataFrame([(len(re.findall("^\\| `", to_markdown(_run(spark, sf_dir)), re.M)) > 0,)], "has_findings boolean")
+    """The table of findings of the markdown report, a row for each finding."""
+    return markdown_rows(_run(spark, sf_dir).findings)
+
+
+def k5_json(spark, sf_dir):
+    """The findings of the JSON report, an object for each."""
+    return json_rows(_run(spark, sf_dir).findings)
 
 
 def p10_rules_table(spark, sf_dir):
@@ -78,7 +82,7 @@ def p10_rules_table(spark, sf_dir):
 
 
 p10_rules_table.__name__ = "pr10_rules_table"
-QUERIES = {f.__name__: f for f in (g11_forbidden, g11_required, g9_reach_findings, g12_verify, a11_verify_summary, g13_exit_code, k4_sarif_results, k5_markdown, p10_rules_table)}
+QUERIES = {f.__name__: f for f in (g11_forbidden, g11_required, g9_reach_findings, g12_verify, a11_verify_summary, g13_exit_code, k4_sarif_results, k5_markdown, k5_json, p10_rules_table)}
 
 _FORBIDDEN = """bad as (
   select repo, src, dst, min(line) as line from g

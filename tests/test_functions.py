@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from strataline.functions.vectors import from_blob, to_blob
 from strataline.operators.near_names import near_names
 from strataline.operators.policy import check_actions, cite
 from strataline.operators.rules import with_groups
-from strataline.plans.verify import Report, exit_code, parse_fail_on, sarif_results, to_markdown, to_sarif, verify
+from strataline.plans.verify import Report, exit_code, json_rows, markdown_rows, parse_fail_on, sarif_results, to_json, to_markdown, to_sarif, verify
 from strataline.sources.rules import ManifestError, check_manifest, merge_rules, read_manifest, write_manifest
 
 
@@ -180,6 +181,17 @@ def test_sarif_cap_keeps_errors(spark):
     assert Report(df, spark.createDataFrame([], "rule_id string, status string, detail string")).summary().first().evaluated == 0
 
 
+def test_reports_hold_all_findings(spark):
+    name = "rule_id string, severity string, engine string, repo string, file string, line int, message string, detail string"
+    df = spark.range(5_010).selectExpr("'r' as rule_id", "if(id < 5005, 'info', 'error') as severity", "'deps' as engine", "'x' as repo", "concat('f', id) as file", "nullif(cast(id as int), 0) as line", "'m' as message", "cast(null as string) as detail")
+    report = Report(df, spark.createDataFrame([("r", "failed", None)], "rule_id string, status string, detail string"))
+    found = json.loads(to_json(report))["findings"]
+    assert len({f["file"] for f in found}) == 5_010 and [f["severity"] for f in found[:6]] == ["error"] * 5 + ["info"] and set(found[0]) == {c.split()[0] for c in name.split(", ")}
+    assert to_markdown(report).count("\n| `r` |") == 5_010 and "| `r` | info | `f0` |" in to_markdown(report)
+    assert "5003 more findings are left out" in to_markdown(report, 7) and to_markdown(report, 7).count("| error |") == 5
+    assert markdown_rows(df).count() == json_rows(df).count() == 5_010
+
+
 def test_manifest(tmp_path):
     good = [law()]
     write_manifest(str(tmp_path / "m.json"), good)
