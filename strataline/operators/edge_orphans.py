@@ -5,53 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.operators.references import arrivals, salted_join
-from strataline.session import materialize, table, trimmed
+from strataline.operators.references import orphan_references
+from strataline.session import table, trimmed
 
-ID_FIELDS = (("dst_node_id", "nodes"), ("src_file_id", "files"))
+#: Fields of an edge that refer to other rows, in the order in which ``first`` asks them.
+FIELDS = ("dst_node_id", "dst_name", "src_file_id")
 
 
 def edge_orphans(edges: DataFrame, nodes: DataFrame, files: DataFrame, pruned: DataFrame) -> DataFrame:
     """(edge_id, field, state, edge_at) for each orphan reference of an edge.
 
     The pair (dst_node_id, dst_name) is one composite reference under ``first`` match
-    semantics: by null mask, a set dst_node_id alone decides; where it is null, a call is
-    matched by its name. src_file_id is a reference of its own. A dst_name of white space
-    only is no reference. An edge's arrival is the earliest indexed_at of its id.
+    semantics: a set dst_node_id alone decides; where it is null, a call is matched by its
+    name. src_file_id is a reference of its own. A dst_name of white space only is no
+    reference. An edge's arrival is the earliest indexed_at of its id.
 
-    States: ``deleted`` (the key is in ``pruned``), ``missing``, ``late``. Repeated rows
-    count once, rows with a null id are no records, empty tables are allowed, extra columns
-    are not read.
+    States: ``deleted`` (the key is in ``pruned``), ``missing``, ``late``; a name is never
+    late or deleted. Repeated rows count once, rows with a null id are no records, empty
+    tables are allowed, extra columns are not read.
     """
-    # One row per edge. Repeated rows differ in indexed_at only; each mask keeps just the key it is matched on.
-    by_id = F.col("dst_node_id").isNotNull()
-    name = F.when(~by_id & (F.col("kind") == "call"), F.when(trimmed("dst_name") != "", trimmed("dst_name")))
-    flat = edges.filter(F.col("id").isNotNull()).select("id", "dst_node_id", "src_file_id", name.alias("dst_name"), "indexed_at")
-    one = flat.groupBy("id").agg(F.min("dst_node_id").alias("dst_node_id"), F.min("src_file_id").alias("src_file_id"), F.min("dst_name").alias("dst_name"), F.min("indexed_at").alias("edge_at"))
-    one = materialize(one, "edges")
-
-    parts = [(f, one.filter(F.col(f).isNotNull()).select(F.col("id").alias("edge_id"), F.col(f).alias("key"), "edge_at")) for f, _ in ID_FIELDS]
-    refs = parts[0][1].withColumn("field", F.lit("dst_node_id")).unionByName(parts[1][1].withColumn("field", F.lit("src_file_id")))
-    # pre-aggregated per key, so that a hot target is one row in the join
-    seen = refs.groupBy("field", "key").agg(F.count(F.lit(1)).alias("n_refs"), F.min("edge_at").alias("first_ref"))
-    tables = {"nodes": nodes, "files": files}
-    goal = None
-    for f, t in ID_FIELDS:
-        part = arrivals(tables[t].select(F.col("id").alias("key"), "indexed_at"), ["key"], "indexed_at").withColumn("field", F.lit(f))
-        goal = part if goal is None else goal.unionByName(part)
-    field = F.when(F.col("table_name") == "nodes", F.lit("dst_node_id")).when(F.col("table_name") == "files", F.lit("src_file_id"))
-    gone = pruned.select(field.alias("field"), F.col("key_id").alias("key")).dropna().distinct().withColumn("gone", F.lit(True))
-    bad = seen.join(goal, ["field", "key"], "left").filter("target_at is null or target_at > first_ref").drop("first_ref")
-    bad = bad.join(gone, ["field", "key"], "left")
-    hit = salted_join(refs, bad, ["field", "key"], "edge_id").filter("target_at is null or target_at > edge_at")
-    state = F.when(F.col("target_at").isNotNull(), F.lit("late")).when(F.col("gone"), F.lit("deleted")).otherwise(F.lit("missing"))
-    by_key = hit.select("edge_id", "field", state.alias("state"), "edge_at")
-
-    calls = one.filter(F.col("dst_name").isNotNull()).select(F.col("id").alias("edge_id"), F.col("dst_name").alias("key"), "edge_at")
-    names = nodes.select(trimmed("name").alias("key")).filter("key is not null").distinct()
-    unknown = calls.groupBy("key").agg(F.count(F.lit(1)).alias("n_refs")).join(names, "key", "left_anti")
-    by_name = salted_join(calls, unknown, ["key"], "edge_id").select("edge_id", F.lit("dst_name").alias("field"), F.lit("missing").alias("state"), "edge_at")
-    return by_key.unionByName(by_name)
+    call = F.when(F.col("kind") == "call", F.when(trimmed("dst_name") != "", trimmed("dst_name")))
+    flat = edges.filter(F.col("id").isNotNull()).select("id", "dst_node_id", "src_file_id", call.alias("dst_name"), "indexed_at")
+    one = flat.groupBy("id").agg(*(F.min(c).alias(c) for c in ("dst_node_id", "dst_name", "src_file_id")), F.min("indexed_at").alias("edge_at"))
+    # two references of an edge: its target, and its file
+    blank = F.lit(None).cast("long")
+    goes = F.struct("dst_node_id", F.when(F.col("dst_node_id").isNull(), F.col("dst_name")).alias("dst_name"), blank.alias("src_file_id"))
+    comes = F.struct(blank.alias("dst_node_id"), F.lit(None).cast("string").alias("dst_name"), "src_file_id")
+    refs = one.select(F.col("id").alias("edge_id"), "edge_at", F.explode(F.array(goes, comes)).alias("r")).select("edge_id", "edge_at", "r.*")
+    # a name is known however late its node arrives
+    names = nodes.select(trimmed("name").alias("name"), F.lit("0001-01-01").cast("timestamp").alias("indexed_at"))
+    removed = lambda t: pruned.filter(F.col("table_name") == t).select(F.col("key_id").alias("id"))
+    found = orphan_references(
+        refs, [nodes.select("id", "indexed_at"), names, files.select("id", "indexed_at")], [("dst_node_id", "id"), ("dst_name", "name"), ("src_file_id", "id")],
+        "edge_id", "first", "edge_at", "indexed_at", [removed("nodes"), None, removed("files")], keep_at=True,
+    )
+    field = F.element_at(F.array(*map(F.lit, FIELDS)), F.locate("1", F.col("mask")).cast("int"))
+    return found.select("edge_id", field.alias("field"), "state", "edge_at")
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:

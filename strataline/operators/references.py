@@ -9,15 +9,16 @@ The match semantics decide what a mask means:
 ``partial``  a tuple with some nulls must agree with a row in its non-null columns.
 ``first``    the first non-null column alone decides, each column against its own target.
 
-Matching works on distinct keys: references are pre-aggregated per key before any join,
-so a key that holds a third of all rows is one row there. Only keys that fail are joined
-back to the references, and the heavy ones among them are salted.
+The references are written once, and all their masks are matched in one pass: the mask is part
+of the key, in which columns that it leaves out are blank. Matching works on distinct keys:
+references are pre-aggregated per key before any join, so a key that holds a third of all rows
+is one row there. Only keys that fail are joined back to the references, and the heavy ones
+among them are salted.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,24 +30,7 @@ ROWS_PER_TASK = 500_000
 #: ... unless more than so many keys would be: then only those above an even share of the references.
 MOST_SALTED = 256
 
-MATCHES = ("simple", "full", "partial")
-
-
-def arrivals(df: DataFrame, key: list[str], at: str, out: str = "target_at") -> DataFrame:
-    """The first arrival of each key; repeated rows count once. Null keys name nothing."""
-    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
-    return df.filter(known).groupBy(*key).agg(F.min(at).alias(out))
-
-
-def failing_keys(refs: DataFrame, targets: DataFrame, key: list[str], at: str | None) -> DataFrame:
-    """Keys of ``refs`` without a row in ``targets``, or with one later than some reference.
-
-    Returns key, ``n_refs`` and ``target_at`` (null: there is no such row).
-    """
-    seen = refs.groupBy(*key).agg(F.count(F.lit(1)).alias("n_refs"), *([F.min(at).alias("first_ref")] if at else []))
-    both = seen.join(targets, key, "left")
-    late = (F.col("target_at") > F.col("first_ref")) if at else F.lit(False)
-    return both.filter(F.col("target_at").isNull() | late).drop("first_ref")
+MATCHES = ("simple", "full", "partial", "first")
 
 
 def salted_join(refs: DataFrame, keys: DataFrame, key: list[str], row_id: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -70,51 +54,94 @@ def salted_join(refs: DataFrame, keys: DataFrame, key: list[str], row_id: str, r
     return dealt.join(spread, [*key, "_salt"]).drop("_salt", "n_refs")
 
 
+def _keyed(df: DataFrame, cols: list[str], types: list[str], masks: list[str], extra: list[Column], first: bool, at: int = 0) -> DataFrame:
+    """_part, _k..., extra: the keys that rows of a target offer, one for each mask whose columns are set.
+
+    Under ``first`` a target answers for its column alone (``at``), and the key is that column.
+    """
+    text = [F.col(c).cast(t).cast("string") for c, t in zip(cols, types)]
+    if first:
+        offered = df.select(F.lit(str(at)).alias("_part"), text[0].alias("_k0"), *extra)
+        return offered.filter("_k0 is not null")
+    named = df.select(*(c.alias(f"_k{i}") for i, c in enumerate(text)), *extra)
+    key = lambda m: F.struct(F.lit(m).alias("_part"), *((F.col(f"_k{i}") if b == "1" else F.lit("")).alias(f"_k{i}") for i, b in enumerate(m)))
+    known = lambda m: reduce(lambda a, b: a & b, [F.col(f"_k{i}").isNotNull() for i, b in enumerate(m) if b == "1"])
+    rest = named.columns[len(cols) :]
+    keys = named.select(F.explode(F.array_compact(F.array(*(F.when(known(m), key(m)) for m in masks)))).alias("_key"), *rest)
+    return keys.select("_key.*", *rest)
+
+
 def orphan_references(
     refs: DataFrame,
-    targets: DataFrame,
+    targets: DataFrame | list[DataFrame],
     on: list[tuple[str, str]],
     row_id: str,
     match: str = "simple",
     ref_at: str | None = None,
     target_at: str | None = None,
+    removed: DataFrame | list[DataFrame | None] | None = None,
+    keep_at: bool = False,
 ) -> DataFrame:
-    """Orphans among composite references: (row_id, mask, state).
+    """Orphans among composite references: (row_id, mask, state), with ref_at if ``keep_at``.
 
-    ``on`` pairs reference columns with target columns. ``mask`` has one letter for each
-    column, ``1`` where the reference is set. ``state`` is ``missing``, ``late`` (the
-    target arrived after the reference; only with both arrival columns) or ``partial_null``
-    (``full`` only).
+    ``on`` pairs reference columns with target columns. Under ``first``, targets (and removed)
+    are lists, one table for each pair; else one table. ``mask`` has one letter for each
+    column, ``1`` where the reference is set. ``state`` is ``missing``, ``deleted`` (missing,
+    and the key is in ``removed``, which has the target columns), ``late`` (the target arrived
+    after the reference; only with both arrival columns) or ``partial_null`` (``full`` only).
 
     Nulls: see the module. Empty strings are values like any other. A repeated row of
     ``refs`` (same id, same key) is one reference with its earliest arrival; repeated rows
     of ``targets`` count once. Empty tables: without references the result is empty,
     without targets every matched reference is missing. Other columns of either table,
-    whatever their names, are not read.
+    whatever their names, are not read. Keys are compared as text in the type of the reference.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
-    cols = [r for r, _ in on]
-    keep = [F.col(row_id).alias("_row"), *(F.col(r).alias(f"_k{i}") for i, r in enumerate(cols))]
-    names = [f"_k{i}" for i in range(len(on))]
+    first = match == "first"
+    cols, names = [r for r, _ in on], [f"_k{i}" for i in range(len(on))]
+    types = [refs.select(c).schema[0].dataType.simpleString() for c in cols]
     timed = ref_at is not None and target_at is not None
-    one = refs.select(*keep, (F.col(ref_at) if timed else F.lit(None).cast("timestamp")).alias("_at"))
+    keep = [F.col(row_id).alias("_row"), *(F.col(r).cast("string").alias(n) for r, n in zip(cols, names))]
+    one = refs.select(*keep, (F.col(ref_at) if timed or keep_at else F.lit(None).cast("timestamp")).alias("_at"))
     one = one.groupBy("_row", *names).agg(F.min("_at").alias("_at"))
-    goal = targets.select(*(F.col(t).alias(f"_k{i}") for i, (_, t) in enumerate(on)), (F.col(target_at) if timed else F.lit("1970-01-01").cast("timestamp")).alias("_in"))
+    mask = F.concat(*(F.when(F.col(n).isNull(), F.lit("0")).otherwise(F.lit("1")) for n in names))
+    one = materialize(one.withColumn("mask", mask), "references")
+    masks = sorted(r[0] for r in one.select("mask").distinct().collect())  # at most 2 to the power of the columns
+    looked_up = [m for m in masks if "1" in m and ("0" not in m or match in ("partial", "first"))]
+    out = ["_row", "mask", "state", *(["_at"] if keep_at else [])]
     parts = []
-    for bits in product((True, False), repeat=len(on)):
-        mask = "".join("1" if b else "0" for b in bits)
-        fits: Column = reduce(lambda a, b: a & b, [F.col(n).isNotNull() if b else F.col(n).isNull() for n, b in zip(names, bits)])
-        some = one.filter(fits)
-        if not any(bits) or (match == "simple" and not all(bits)):
-            continue
-        if match == "full" and not all(bits):
-            parts.append(some.select("_row", F.lit(mask).alias("mask"), F.lit("partial_null").alias("state")))
-            continue
-        key = [n for n, b in zip(names, bits) if b]
-        bad = failing_keys(some, arrivals(goal, key, "_in"), key, "_at" if timed else None)
+    if match == "full":
+        parts.append(one.filter(F.col("mask").contains("0") & F.col("mask").contains("1")).withColumn("state", F.lit("partial_null")).select(*out))
+    if looked_up:
+        some = one.filter(F.col("mask").isin(looked_up))
+        key = ["_part", "_k0"] if first else ["_part", *names]
+        if first:
+            some = some.select("_row", "mask", "_at", (F.locate("1", F.col("mask")) - 1).cast("string").alias("_part"), F.coalesce(*names).alias("_k0"))
+        else:
+            some = some.select("_row", "mask", "_at", F.col("mask").alias("_part"), *(F.coalesce(n, F.lit("")).alias(n) for n in names))
+        came = [(F.col(target_at) if timed else F.lit("1970-01-01").cast("timestamp")).alias("_in")]
+        ends = [t for _, t in on]
+
+        def offered(tables, extra):
+            if not first:
+                return _keyed(tables, ends, types, looked_up, extra, False)
+            each = [_keyed(t, [ends[i]], [types[i]], [], extra, True, i) for i, t in enumerate(tables) if t is not None]
+            return reduce(DataFrame.unionByName, each)
+
+        goal = offered(targets, came).groupBy(*key).agg(F.min("_in").alias("target_at"))
+        seen = some.groupBy(*key).agg(F.count(F.lit(1)).alias("n_refs"), F.min("_at").alias("first_ref"))
+        late = (F.col("target_at") > F.col("first_ref")) if timed else F.lit(False)
+        bad = seen.join(goal, key, "left").filter(F.col("target_at").isNull() | late).drop("first_ref")
+        gone = removed if not isinstance(removed, list) or any(t is not None for t in removed) else None
+        if gone is not None:
+            bad = bad.join(offered(gone, []).distinct().withColumn("gone", F.lit(True)), key, "left")
+        else:
+            bad = bad.withColumn("gone", F.lit(None).cast("boolean"))
         hit = salted_join(some, bad, key, "_row")
         hit = hit.filter(F.col("target_at").isNull() | (F.col("target_at") > F.col("_at"))) if timed else hit
-        state = F.when(F.col("target_at").isNull(), F.lit("missing")).otherwise(F.lit("late"))
-        parts.append(hit.select("_row", F.lit(mask).alias("mask"), state.alias("state")))
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("_row", row_id)
+        state = F.when(F.col("target_at").isNotNull(), F.lit("late")).when(F.col("gone"), F.lit("deleted")).otherwise(F.lit("missing"))
+        parts.append(hit.withColumn("state", state).select(*out))
+    found = reduce(DataFrame.unionByName, parts) if parts else one.withColumn("state", F.lit("missing")).select(*out).limit(0)
+    found = found.withColumnRenamed("_row", row_id)
+    return found.withColumnRenamed("_at", ref_at) if keep_at else found

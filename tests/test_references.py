@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -45,6 +46,33 @@ def test_empty_tables(spark):
     assert orphans(spark, [(1, 1, "a", A)], [], "simple") == [(1, "11", "missing")]
 
 
+def test_first_asks_the_first_column_that_is_set(spark):
+    refs = [(10, 1, "zz", B), (11, 9, "a", B), (12, None, "a", B), (13, None, "zz", B), (14, None, None, B), (15, 2, "q", A), (16, 8, None, B), (16, 8, None, B), (17, None, "", B)]
+    r = spark.createDataFrame([(*t, "j") for t in refs], REFS)
+    g = spark.createDataFrame([(*t, 1) for t in GOALS], GOAL)
+    gone = spark.createDataFrame([(8,), (8,), (1,), (None,)], "x int")
+    for names, late in ((g, [(13, "01", "missing"), (17, "01", "missing")]), (g.limit(0), [(12, "01", "missing"), (13, "01", "missing"), (17, "01", "missing")])):
+        out = R.orphan_references(r, [g, names], [("x", "x"), ("y", "name")], "id", "first", "at", "at", [gone, None])
+        assert sorted(tuple(t) for t in out.collect()) == sorted([(11, "11", "missing"), (15, "11", "late"), (16, "10", "deleted"), *late])
+
+
+@pytest.mark.parametrize("match", R.MATCHES[:3])
+def test_random_tuples_against_brute_force(spark, match):
+    r = random.Random(match)
+    pick = lambda: (r.choice([None, 1, 2, 3, 4]), r.choice([None, "", "a", "b"]))
+    refs = [(i, *pick(), B) for i in range(200)]
+    goal = [(*pick(), A) for _ in range(6)]
+    want = set()
+    for i, x, y, _ in refs:
+        mask = f"{int(x is not None)}{int(y is not None)}"
+        held = any((x is None or x == a) and (y is None or y == b) for a, b, _ in goal)
+        if mask == "11" or (match == "partial" and mask != "00"):
+            want |= set() if held else {(i, mask, "missing")}
+        elif match == "full" and mask != "00":
+            want.add((i, mask, "partial_null"))
+    assert set(orphans(spark, refs, goal, match)) == want
+
+
 def test_unknown_semantics(spark):
     with pytest.raises(ValueError):
         orphans(spark, [], [], "none")
