@@ -1,36 +1,42 @@
 """Parent-child links to full hierarchies, as nested sets.
 
-1. Chains are followed by pointer doubling, only to give every row the label of its tree:
-   rows that are still on their way double the links of what they point to, so a chain of
-   n links takes log2(n) rounds over ever fewer rows.
+1. Chains are followed to give every row the label of its tree: first as far as they go inside
+   the rows that a task happens to hold, then by pointer doubling. Rows that are still on their
+   way double the links of what they point to, so a chain of n links takes at most log2(n)
+   rounds over ever fewer rows; the last ``tree_rows`` of them are finished in one task. Rows
+   that never get to an end are cyclic.
 2. A tree goes whole to one task and many trees share a task. There, level by level:
    subtree sizes are summed upward from the leaves, then sibling ranges of preorder numbers
    are allotted downward from the root by prefix sums. What the upward pass never frees
    lies on a cycle; what the downward pass never reaches hangs under one.
-3. A tree of more than ``tree_rows`` rows is not gathered: the same two passes run over it
-   as DataFrames, one level at a time, with sibling prefix sums in two steps.
+3. A tree of more than ``tree_rows`` rows is not gathered: the same two passes run over it as
+   DataFrames. Round k takes 2^k levels at once (each row hands its sum to its 2^k-th
+   ancestor, and takes the sum of the way from there), so a tree of depth d takes log2(d)
+   rounds, not d. Siblings' prefix sums are taken in two steps over a range partitioning.
 
 pre is the place of a node in its tree's preorder and size the count of its descendants:
 b descends from a if both have one root and pre(a) < pre(b) <= pre(a) + size(a).
+``descendants`` and ``ancestors`` read these ranges. All operators here run jobs while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataline.operators.references import salted_join
-from strataline.session import materialize, table
+from strataline.session import materialize, table, width
 
 #: Trees up to so many rows are worked on inside one task.
 TREE_ROWS = 200_000
-#: Siblings are summed in blocks of so many consecutive ids.
-BLOCK_BITS = 14
+#: Preorder numbers have at most so many binary digits.
+LEVELS = 48
 
 SCHEMA = "id long, root long, depth int, pre long, size long, state string, path array<long>"
 STATES = ("ok", "other_file", "broken", "under_cycle", "on_cycle")
@@ -44,10 +50,72 @@ def _by_key(refs: DataFrame, key: str, *tables: DataFrame) -> DataFrame:
     return salted_join(refs, keys, [key], "id")
 
 
-def _label(rows: DataFrame) -> DataFrame:
-    """id, parent, grp, there, crosses + tree (label), dist (links to the top; null on or under a cycle).
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's way through the rows at hand, whichever they are: top (an end, or the first row elsewhere), dist, low, ended.
 
-    rows: id, parent, grp with unique ids.
+    Rows that run into a loop here keep their own link.
+    """
+
+    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, parent, there = (t[c].to_numpy(zero_copy_only=False) for c in ("id", "at", "there"))
+        order = np.argsort(ids, kind="stable")
+        ids, parent, there = ids[order], parent[order], there[order]
+        n = len(ids)
+        at = np.minimum(np.searchsorted(ids, parent), n - 1)
+        local = there & (ids[at] == parent)
+        up, dist, low = np.where(local, at, np.arange(n)), local.astype(np.int64), ids.copy()
+        for _ in range(n.bit_length() + 1):
+            beyond = up[up]
+            if (beyond == up).all():
+                break
+            low, dist, up = np.minimum(low, low[up]), dist + dist[up], beyond
+        looped = local[up]
+        ended = ~there[up] & ~looped
+        top = np.where(looped, parent, np.where(ended, ids[up], parent[up]))
+        dist = np.where(looped, 1, dist + ~ended).astype(np.int32)
+        low = np.minimum(np.where(looped, ids, np.minimum(low, low[up])), top)
+        out = pa.table([ids, top, dist, low, ended], names=["id", "top", "dist", "low", "ended"])
+        yield from out.to_batches(max_chunksize=50_000)
+
+    held, rows = [], 0
+    for b in batches:
+        parent = b.column("parent").fill_null(0)
+        held.append(pa.RecordBatch.from_arrays([b.column("id"), parent, b.column("there")], names=["id", "at", "there"]))
+        rows += b.num_rows
+        if rows >= TREE_ROWS:
+            yield from work(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if rows:
+        yield from work(pa.Table.from_batches(held))
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows that are still on their way, in one task: id, tree, dist, ring. far and more are what is known of a top that has ended."""
+    held = list(batches)
+    if not held:
+        return
+    t = pa.Table.from_batches(held).combine_chunks()
+    bare = t["far"].is_null().to_numpy(zero_copy_only=False)
+    ids, top, dist, low, far, more = (t[c].fill_null(0).to_numpy().astype(np.int64) for c in ("id", "top", "dist", "low", "far", "more"))
+    order = np.argsort(ids, kind="stable")
+    ids, top, dist, low, far, more, bare = (x[order] for x in (ids, top, dist, low, far, more, bare))
+    n = len(ids)
+    # every top has ended or is among the rows
+    up, way = np.where(bare, np.minimum(np.searchsorted(ids, top), n - 1), np.arange(n)), np.where(bare, dist, 0)
+    for _ in range(n.bit_length() + 1):
+        low, way, up = np.minimum(low, low[up]), way + way[up], up[up]
+    looped = bare[up]
+    ring = np.zeros(n, bool)
+    ring[up[looped]] = True  # after as many steps as there are rows all are on their loops
+    tree = np.where(looped, low[up], far[up])
+    links = pa.array((way + dist[up] + more[up]).astype(np.int32), mask=looped)
+    yield from pa.table([pa.array(ids), pa.array(tree), links, pa.array(ring)], names=["id", "tree", "dist", "ring"]).to_batches(max_chunksize=50_000)
+
+
+def _label(rows: DataFrame, limit: int) -> DataFrame:
+    """id, parent, grp, there, crosses + tree (label), dist (links to the top; null on or under a cycle), ring (on a cycle).
+
+    rows: id, parent, grp with unique ids. As few as ``limit`` rows on their way are finished in one task.
     """
     up = rows.select(F.col("id").alias("parent"), F.col("grp").alias("up_grp"), F.lit(True).alias("there"))
     below = _by_key(rows.filter("parent is not null"), "parent", up)
@@ -55,13 +123,19 @@ def _label(rows: DataFrame) -> DataFrame:
     below = below.select("id", "parent", "grp", there.alias("there"), (there & ~F.col("grp").eqNullSafe(F.col("up_grp"))).alias("crosses"))
     top = rows.filter("parent is null").select("id", "parent", "grp", F.lit(False).alias("there"), F.lit(False).alias("crosses"))
     linked = materialize(below.unionByName(top), "linked")
-    ended = linked.filter("not there").select("id", F.col("id").alias("top"), F.lit(0).alias("dist"))
-    going = linked.filter("there").select("id", F.col("parent").alias("top"), F.lit(1).alias("dist"), F.least("id", "parent").alias("low"))
-    going = materialize(going, "going")
-    n, steps, stuck = going.count(), 1, False
+    # links inside a group are mostly links inside a task's rows too
+    near = linked.select("id", "parent", "there", "grp").repartitionByRange("grp", "id").drop("grp").mapInArrow(_contract, "id long, top long, dist int, low long, ended boolean")
+    near = materialize(near, "near")
+    ended = near.filter("ended").select("id", "top", "dist")
+    going = near.filter("not ended").drop("ended")
+    n, steps, stuck, rest = going.count(), 1, False, None
     while n and not (stuck and steps >= n):
         # a row's top has ended in an earlier round, or it is going too
         at_end = ended.select(F.col("id").alias("top"), F.col("top").alias("far"), F.col("dist").alias("more"))
+        if n <= limit:
+            rest = _by_key(going, "top", at_end).select("id", "top", "dist", "low", "far", "more").coalesce(1)
+            rest = materialize(rest.mapInArrow(_finish, "id long, tree long, dist int, ring boolean"), "rest")
+            break
         on_way = going.select(F.col("id").alias("top"), F.col("top").alias("far2"), F.col("dist").alias("more2"), F.col("low").alias("low2"))
         via = _by_key(going, "top", at_end, on_way)
         moved = via.select(
@@ -72,13 +146,17 @@ def _label(rows: DataFrame) -> DataFrame:
         ended = ended.unionByName(moved.filter("ended").select("id", "top", "dist"))
         going = moved.filter("not ended").drop("ended")
         left = going.count()
-        # the deepest chain loses rows in every round: once none are lost, all that is left is cyclic
+        # the row nearest to its end gets there in every round: once none are lost, all that is left is cyclic
         stuck, n, steps = left == n, left, min(steps * 2, 1 << 30)
-    labels = ended.select("id", F.col("top").alias("tree"), "dist")
-    if n:
-        # after as many steps as there are rows every top lies on its cycle and has seen all of it
+    labels = ended.select("id", F.col("top").alias("tree"), "dist", F.lit(False).alias("ring"))
+    if rest is not None:
+        labels = labels.unionByName(rest)
+    elif n:
+        # after as many steps as there are rows every top lies on its cycle and has seen all of it, and every row of a cycle is a top
         lows = going.select(F.col("id").alias("top"), F.col("low").alias("tree"))
-        labels = labels.unionByName(_by_key(going.select("id", "top"), "top", lows).select("id", "tree", F.lit(None).cast("int").alias("dist")))
+        rings = going.select(F.col("top").alias("id")).distinct().withColumn("ring", F.lit(True))
+        cyclic = _by_key(going.select("id", "top"), "top", lows).join(rings, "id", "left")
+        labels = labels.unionByName(cyclic.select("id", "tree", F.lit(None).cast("int").alias("dist"), F.coalesce("ring", F.lit(False)).alias("ring")))
     return linked.join(labels, "id")
 
 
@@ -183,69 +261,66 @@ def _batches(with_path: bool):
     return work
 
 
-def _wide(rows: DataFrame, with_path: bool) -> DataFrame:
-    """The same passes over trees too large for a task, a level at a time.
+def _sizes(rows: DataFrame) -> DataFrame:
+    """id, size (descendants) of acyclic rows (id, parent, there): the upward pass, twice as many levels in each round.
 
-    The labels' distance is the depth; rows without one are on or under a cycle.
+    In round k a row holds the sum of itself and the levels less than 2^k below, and hands it to
+    its 2^k-th ancestor. Only rows that have one go on.
     """
-    spark = rows.sparkSession
+    going = materialize(rows.filter("there").select("id", F.col("parent").alias("jump"), F.lit(1).cast("long").alias("held")), "up")
+    parts = [rows.filter("not there").select("id", F.lit(1).cast("long").alias("held"))]
+    while not going.isEmpty():
+        sent = going.groupBy(F.col("jump").alias("id")).agg(F.sum("held").alias("more"))
+        ahead = _by_key(going, "jump", going.select(F.col("id").alias("jump"), F.col("jump").alias("next")))
+        got = ahead.select("id", "held", "next").join(sent, "id", "full")
+        got = materialize(got.select("id", F.col("next").alias("jump"), (F.coalesce("held", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("held")), "up")
+        parts.append(got.filter("jump is null").select("id", "held"))
+        going = got.filter("jump is not null")
+    return reduce(DataFrame.unionByName, parts).groupBy("id").agg((F.sum("held") - 1).alias("size"))
+
+
+def _places(kids: DataFrame) -> DataFrame:
+    """id, parent, crosses, size + gap: how far a node's pre is from its parent's; siblings in order of id.
+
+    Ranges of (parent, id) are summed by task first, so the children of one node may fill many tasks.
+    """
+    dealt = materialize(kids.repartitionByRange(width(kids.sparkSession), "parent", "id").withColumn("pid", F.spark_partition_id()), "kids")
+    parts = dealt.groupBy("parent", "pid").agg(F.sum(F.col("size") + 1).alias("whole"))
+    before = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each task that a parent's children are in
+    ahead = parts.withColumn("ahead", before("whole", "parent", "pid")).select("parent", "pid", "ahead")
+    inside = dealt.withColumn("inside", before(F.col("size") + 1, "parent", "pid", "id"))
+    return inside.join(ahead, ["parent", "pid"]).withColumn("gap", F.col("ahead") + F.col("inside") + 1).drop("pid", "ahead", "inside")
+
+
+def _wide(rows: DataFrame, with_path: bool) -> DataFrame:
+    """Both passes over trees too large for a task, see the module. rows: as _label gives them."""
     acyclic = rows.filter("dist is not null")
-    deep = acyclic.agg(F.max("dist")).first()[0]
-    parts = []
-    if deep is not None:
-        sums = None  # node id -> descendants, for the level being summed
-        sized = []
-        for d in range(deep, -1, -1):
-            here = acyclic.filter(F.col("dist") == d).select("id", "parent")
-            here = here.join(sums, "id", "left") if sums is not None else here.withColumn("size", F.lit(None).cast("long"))
-            here = materialize(here.select("id", "parent", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "up")
-            sized.append(here)
-            sums = here.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.sum(F.col("size") + 1).alias("size"))
-        extra = acyclic.select("id", "crosses")
-        top = sized[-1].join(acyclic.select("id"), "id").select(
-            "id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pre"), "size",
-            F.lit(False).alias("across"), F.col("parent").isNull().alias("bare"), F.array("id").alias("path"),
+    sized = materialize(acyclic.select("id", "parent", "there", "crosses").join(_sizes(acyclic), "id"), "sized")
+    path = lambda c: F.array(c) if with_path else F.lit(None).cast("array<long>")
+    top = sized.filter("not there").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("pre"), F.lit(False).alias("across"), F.col("parent").isNull().alias("bare"), path("id").alias("path"))
+    places = _places(sized.filter("there").drop("there"))
+    # downward: what a row knows is the way from below its jump to itself
+    going = materialize(places.select("id", F.col("parent").alias("jump"), F.col("gap").alias("way"), F.col("crosses").alias("over"), path("id").alias("steps")), "down")
+    parts = [top]
+    while not going.isEmpty():
+        done = reduce(DataFrame.unionByName, parts).withColumnsRenamed({"id": "jump", "path": "front"})
+        on_way = going.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("way").alias("way2"), F.col("over").alias("over2"), F.col("steps").alias("steps2"))
+        via = _by_key(going, "jump", done, on_way)
+        full = F.concat(F.coalesce("front", "steps2"), "steps") if with_path else F.lit(None).cast("array<long>")
+        moved = via.select(
+            "id", "next", "root", "bare", (F.coalesce("pre", "way2") + F.col("way")).alias("way"), (F.coalesce("across", "over2") | F.col("over")).alias("over"), full.alias("steps"),
         )
-        level = materialize(top, "down")
-        parts.append(level)
-        for here in reversed(sized[:-1]):
-            block = F.shiftright("id", BLOCK_BITS)
-            kids = here.withColumn("block", block)
-            blocks = kids.groupBy("parent", "block").agg(F.sum(F.col("size") + 1).alias("whole"))
-            before = F.coalesce(F.sum("whole").over(Window.partitionBy("parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            blocks = blocks.select("parent", "block", before.alias("ahead"))
-            inside = F.coalesce(F.sum(F.col("size") + 1).over(Window.partitionBy("parent", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            # what a parent passes on is joined once for each block of its children, so none is a hot key
-            above = level.select(F.col("id").alias("parent"), "root", "depth", F.col("pre").alias("up_pre"), "across", "bare", "path")
-            blocks = blocks.join(above, "parent")
-            kids = kids.withColumn("inside", inside).join(extra, "id")
-            level = kids.join(blocks, ["parent", "block"]).select(
-                "id", "root", (F.col("depth") + 1).alias("depth"), (F.col("up_pre") + 1 + F.col("ahead") + F.col("inside")).alias("pre"), "size",
-                (F.col("across") | F.col("crosses")).alias("across"), "bare", F.array_append("path", F.col("id")).alias("path") if with_path else F.col("path"),
-            )
-            level = materialize(level, "down")
-            parts.append(level)
+        moved = materialize(moved, "down")
+        parts.append(moved.filter("root is not null").select("id", "root", F.col("way").alias("pre"), F.col("over").alias("across"), "bare", F.col("steps").alias("path")))
+        going = moved.filter("root is null").select("id", F.col("next").alias("jump"), "way", "over", "steps")
     state = F.when(~F.col("bare"), F.lit("broken")).when(F.col("across"), F.lit("other_file")).otherwise(F.lit("ok"))
-    out = [p.select("id", "root", "depth", "pre", "size", state.alias("state"), "path") for p in parts]
-    # cyclic rows: take away childless rows until only the cycles are left
-    left = materialize(rows.filter("dist is null").select("id", "parent"), "cyclic")
-    n = left.count()
-    while n:
-        kept = materialize(left.join(left.select(F.col("parent").alias("id")).distinct(), "id", "left_semi"), "cyclic")
-        m = kept.count()
-        gone = left.join(kept.select("id"), "id", "left_anti") if m < n else kept
-        name = "under_cycle" if m < n else "on_cycle"
-        nulls = [F.lit(None).cast(t).alias(c) for c, t in (("root", "long"), ("depth", "int"), ("pre", "long"), ("size", "long"))]
-        out.append(gone.select("id", *nulls, F.lit(name).alias("state"), F.lit(None).cast("array<long>").alias("path")))
-        if m == n:
-            break
-        left, n = kept, m
-    if not out:
-        return spark.createDataFrame([], SCHEMA)
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    reached = reduce(DataFrame.unionByName, parts).join(sized.select("id", "size"), "id").join(acyclic.select("id", "dist"), "id")
+    out = reached.select("id", "root", F.col("dist").alias("depth"), "pre", "size", state.alias("state"), "path")
+    # never reached by the downward pass
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in (("root", "long"), ("depth", "int"), ("pre", "long"), ("size", "long"))]
+    cyclic = rows.filter("dist is null").select("id", *nulls, F.when(F.col("ring"), "on_cycle").otherwise("under_cycle").alias("state"), F.lit(None).cast("array<long>").alias("path"))
+    return out.unionByName(cyclic)
 
 
 def hierarchy(
@@ -265,7 +340,7 @@ def hierarchy(
     grp = F.col(group) if group else F.lit(0)
     rows = df.select(F.col(node).cast("long").alias("id"), F.col(parent).cast("long").alias("parent"), grp.alias("grp")).filter("id is not null")
     rows = rows.groupBy("id").agg(F.min("parent").alias("parent"), F.min("grp").alias("grp"))
-    rows = materialize(_label(rows), "labelled")
+    rows = materialize(_label(rows, tree_rows), "labelled")
     sizes = rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tree_rows)
     large = materialize(sizes.select("tree"), "large")
     n_large = large.count()
@@ -280,6 +355,52 @@ def hierarchy(
     return out
 
 
+def _dyadic(low: Column, high: Column) -> Column:
+    """Array of (level, at): the intervals at * 2^level .. (at + 1) * 2^level - 1 that low..high is made of, at most two of a level."""
+    none = F.array().cast("array<struct<level:int,at:bigint>>")
+    start = F.struct(low.alias("l"), (high + 1).alias("r"), none.alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        l, r = acc["l"], acc["r"]
+        take = lambda side, at: F.when((l < r) & (side % 2 == 1), F.array(F.struct(level.alias("level"), at.alias("at")))).otherwise(none)
+        l2, r2 = F.shiftright(l + l % 2, 1), F.shiftright(r - r % 2, 1)
+        return F.struct(l2.alias("l"), r2.alias("r"), F.concat(acc["out"], take(l, l), take(r, r - 1)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["out"])
+
+
+def lineage(tree: DataFrame, above: DataFrame | None = None, below: DataFrame | None = None) -> DataFrame:
+    """above, below, steps: pairs of an ancestor and a descendant, read from the nested sets of ``hierarchy``.
+
+    ``above`` and ``below`` (id) limit either side. The descendants of a node are a range of
+    preorder numbers, which is cut to dyadic intervals; a node lies in one interval of each
+    level, so pairs are met by equality and none is met in vain. Cyclic nodes have no ranges
+    and are in no pair; an empty table gives an empty result.
+    """
+    nodes = tree.filter("root is not null").select("id", "root", "depth", "pre", "size")
+    upper = nodes.filter("size > 0")
+    upper = upper if above is None else upper.join(above.select("id").distinct(), "id", "left_semi")
+    lower = nodes if below is None else nodes.join(below.select("id").distinct(), "id", "left_semi")
+    cut = upper.select("root", F.col("id").alias("above"), F.col("depth").alias("from"), F.explode(_dyadic(F.col("pre") + 1, F.col("pre") + F.col("size"))).alias("i"))
+    # numbers are dense, so an interval of level l holds 2^l nodes
+    keys = cut.select("root", "i.level", "i.at", "above", "from", F.expr("shiftleft(1L, i.level)").alias("n_refs"))
+    tops = nodes.filter("depth = 0").select("root", (F.col("size") + 1).alias("n_refs"), F.ceil(F.log2(F.col("size") + 1)).cast("int").alias("top"))
+    placed = salted_join(lower, tops, ["root"], "id").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    placed = placed.select("root", "level", F.expr("shiftright(pre, level)").alias("at"), F.col("id").alias("below"), "depth")
+    met = salted_join(placed, keys, ["root", "level", "at"], "below")
+    return met.select("above", "below", (F.col("depth") - F.col("from")).alias("steps"))
+
+
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node_id, descendant_id, steps for the nodes of ``of`` (id), or all. See lineage."""
+    return lineage(tree, above=of).select(F.col("above").alias("node_id"), F.col("below").alias("descendant_id"), "steps")
+
+
+def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """node_id, ancestor_id, steps for the nodes of ``of`` (id), or all. See lineage."""
+    return lineage(tree, below=of).select(F.col("below").alias("node_id"), F.col("above").alias("ancestor_id"), "steps")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "nodes", "id", "parent_id", "file_id")
     return hierarchy(nodes, group="file_id", with_path=False).filter("state <> 'ok'").select(F.col("id").alias("node_id"), "state")
@@ -293,3 +414,18 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("node_id"), "root", "depth", "pre", (F.col("pre") + F.col("size")).alias("last_pre"), "size",
         F.concat_ws("/", "path").alias("path"), "state",
     )
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(hierarchy(table(spark, sf_dir, "nodes", "id", "parent_id", "file_id"), group="file_id", with_path=False), "tree")
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node with each of its descendants and the steps between them."""
+    return descendants(_tree(spark, sf_dir))
+
+
+def p5_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node without children, with each of its ancestors."""
+    tree = _tree(spark, sf_dir)
+    return ancestors(tree, tree.filter("size = 0"))

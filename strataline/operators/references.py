@@ -38,7 +38,8 @@ def salted_join(refs: DataFrame, keys: DataFrame, key: list[str], row_id: str, r
 
     A key with n references is repeated ceil(n / share) times, and its references are dealt
     to the copies by a hash of their row id. The share is at least total / 256, so at most
-    256 keys are salted: that list alone is broadcast, whatever the size of the data.
+    256 keys are salted: that list alone is broadcast, whatever the size of the data. A key may
+    have several rows if all of them name the same n_refs.
     """
     keys = materialize(keys, "keys")
     total = keys.agg(F.sum("n_refs")).first()[0] or 0
@@ -46,7 +47,7 @@ def salted_join(refs: DataFrame, keys: DataFrame, key: list[str], row_id: str, r
     keys = keys.withColumn("_copies", F.ceil(F.col("n_refs") / F.lit(float(share))).cast("int"))
     salt = F.lit(0)
     if total > share:
-        heavy = keys.filter("_copies > 1").select(*key, F.col("_copies").alias("_deal"))
+        heavy = keys.filter("_copies > 1").select(*key, F.col("_copies").alias("_deal")).distinct()
         refs = refs.join(F.broadcast(heavy), key, "left")
         salt = F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_deal")), F.lit(0)).cast("int")
     dealt = refs.withColumn("_salt", salt).drop("_deal")

@@ -1,9 +1,9 @@
 """General problems: orphan references (4) and hierarchies (5)."""
 
 from strataline.operators.edge_orphans import p4_by_month, p4_found
-from strataline.operators.hierarchy import p5_found, p5_hierarchy
+from strataline.operators.hierarchy import p5_ancestors, p5_descendants, p5_found, p5_hierarchy
 
-QUERIES = {"p4_found": p4_found, "p4_by_month": p4_by_month, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
+QUERIES = {"p4_found": p4_found, "p4_by_month": p4_by_month, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants, "p5_ancestors": p5_ancestors}
 
 _TRIM = "chr(32) || chr(9) || chr(13) || chr(10)"
 
@@ -60,6 +60,14 @@ s as (
 )
 """
 
+_DOWN = """,
+down(id, root, depth) as (
+  select id, id, 0 from n where p is null or p not in (select id from n)
+  union all
+  select n.id, d.root, d.depth + 1 from down d join n on n.p = d.id
+)
+"""
+
 SQL = {
     "p4_found": _P4 + "select edge_id, field, state from found",
     "p4_by_month": _P4 + "select field, state, strftime(edge_at, '%Y-%m') as month, count(*) as n from found group by all",
@@ -79,4 +87,9 @@ select s.id as node_id, r.root, r.depth, r.pre,
        coalesce(array_to_string(r.path, '/'), '') as path, s.state
 from s left join ranked r on r.id = s.id left join sizes z on z.id = s.id
 """,
+    "p5_descendants": _P5 + _DOWN + "select up.a as node_id, up.id as descendant_id, l.depth - h.depth as steps from up join down l on l.id = up.id join down h on h.id = up.a",
+    "p5_ancestors": _P5
+    + _DOWN
+    + """select up.id as node_id, up.a as ancestor_id, l.depth - h.depth as steps from up join down l on l.id = up.id join down h on h.id = up.a
+where not exists (select 1 from n where n.p = up.id)""",
 }

@@ -1,6 +1,9 @@
 import random
 
-from strataline.operators.hierarchy import hierarchy
+import pytest
+from pyspark.sql import functions as F
+
+from strataline.operators.hierarchy import ancestors, descendants, hierarchy
 
 
 def brute(rows):
@@ -80,3 +83,38 @@ def test_empty_and_columns(spark):
     assert run(spark, []) == {}
     df = spark.createDataFrame([(1, None, "a")], "id long, parent_id long, path string")
     assert [tuple(r) for r in hierarchy(df, with_path=False).collect()] == [(1, 1, 0, 0, 0, "ok")]
+
+
+@pytest.mark.parametrize("tree_rows", [3, 1000])
+def test_descendants_and_ancestors(spark, tree_rows):
+    rows = forest(5, 80)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id long, parent_id long, file_id long, root string")
+    tree = hierarchy(df, group="file_id", with_path=False, tree_rows=tree_rows)
+    want = {(a, i, len(p) - 1 - k) for i, (_, p, *_) in brute(rows).items() if p for k, a in enumerate(p[:-1])}
+    assert {tuple(r) for r in descendants(tree).collect()} == want
+    some = spark.createDataFrame([(7,), (20,), (7,), (None,)], "id long")
+    assert sorted(tuple(r) for r in ancestors(tree, some).collect()) == sorted((i, a, n) for a, i, n in want if i in (7, 20))
+    assert descendants(tree.limit(0)).count() == 0
+
+
+def test_contraction_of_any_rows_together(spark, monkeypatch):
+    monkeypatch.setattr("strataline.operators.hierarchy.TREE_ROWS", 7)
+    rows = forest(8, 90)
+    assert run(spark, rows, tree_rows=1000) == brute(rows)
+
+
+def test_chain_of_many_links_takes_few_jobs(spark):
+    n = 3_000
+    df = spark.range(n).selectExpr("id", "nullif(id, 0) - 1 as parent_id").union(spark.range(n, 2 * n).selectExpr("id", "5L"))
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        tree = hierarchy(df, with_path=False, tree_rows=1000)
+        row = tree.agg(F.sum("pre"), F.sum("depth"), F.sum("size"), F.max("depth"), F.expr("count_if(state = 'ok')")).first()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # node 5 has the chain's next node first, then its n other children
+    depths = n * (n - 1) // 2 + n * 6
+    sizes = sum(n - 1 - i + (n if i <= 5 else 0) for i in range(n))
+    assert tuple(row) == (2 * n * (2 * n - 1) // 2, depths, sizes, n - 1, 2 * n)
+    assert 0 < len(jobs.getJobIdsForGroup("chain")) < 40 * n.bit_length()
