@@ -35,8 +35,10 @@ def associated_pairs(
     one = df.select(F.col(scope).alias("scope"), F.col(basket).alias("basket"), F.col(item).alias("item")).dropna().distinct()
     one = materialize(one, "baskets")
     n_baskets = one.select("scope", "basket").distinct().groupBy("scope").agg(F.count(F.lit(1)).alias("n_baskets"))
-    counts = one.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.join(n_baskets, "scope")
+    counts = materialize(one.groupBy("scope", "item").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # one scope may hold most items, one item be in most pairs: both are dealt out
+    held = counts.groupBy("scope").agg(F.count(F.lit(1)).alias("n_refs"))
+    counts = salted_join(counts, n_baskets.join(held, "scope"), ["scope"], "item")
     fits = F.col("n") >= min_count
     if min_lift is not None:
         fits = fits & (F.col("n_baskets") >= F.col("n") * min_lift)
@@ -47,9 +49,11 @@ def associated_pairs(
     sizes = members.groupBy("scope", "basket").agg(F.count(F.lit(1)).alias("n_items")).filter("n_items > 1")
     rows = chunk_pairs(members, ["scope", "basket"], "no", sizes, chunk, F.xxhash64("no"))
     pairs = pairs_of_arrays(rows, [], "x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n_ab")).filter(F.col("n_ab") >= min_count)
-    left = items.select(F.col("no").alias("x"), "scope", F.col("item").alias("item_x"), F.col("n").alias("n_x"), "n_baskets")
-    right = items.select(F.col("no").alias("y"), F.col("item").alias("item_y"), F.col("n").alias("n_y"))
-    whole = materialize(pairs, "pairs").join(left, "x").join(right, "y")
+    pairs = materialize(pairs, "pairs")
+    times = lambda c: pairs.groupBy(c).agg(F.count(F.lit(1)).alias("n_refs"))
+    left = items.select(F.col("no").alias("x"), "scope", F.col("item").alias("item_x"), F.col("n").alias("n_x"), "n_baskets").join(times("x"), "x")
+    right = items.select(F.col("no").alias("y"), F.col("item").alias("item_y"), F.col("n").alias("n_y")).join(times("y"), "y")
+    whole = salted_join(salted_join(pairs, left, ["x"], "y"), right, ["y"], "x")
     ahead = F.col("item_x") < F.col("item_y")
     pick = lambda s, t: F.when(ahead, F.col(s)).otherwise(F.col(t))
     out = whole.select(

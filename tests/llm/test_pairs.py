@@ -12,6 +12,7 @@ from strataline.llm.cooccurrence import associated_pairs
 from strataline.llm.handwritten import classify_files, edited_copies
 from strataline.llm.neighbours import VectorIndex, p2_found
 from strataline.llm.quantiser import BOOKS, Quantiser, may_reach
+from strataline.operators.references import salted_join
 from strataline.session import table
 
 
@@ -36,6 +37,15 @@ def test_pairs_of_huge_and_small_baskets(spark, chunk):
     assert associated_pairs(df.limit(0), "s", "k", "i").count() == 0
 
 
+def test_pairs_with_all_keys_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr("strataline.llm.cooccurrence.salted_join", lambda *a: salted_join(*a, rows_per_task=3))
+    rows = [("r" if i % 3 else "q", i % 37, f"i{i % k:02}") for i in range(400) for k in (1, 5, 11)]
+    df = spark.createDataFrame(rows, "s string, k long, i string")
+    got = {(x.s, x.a, x.b): (x.n_ab, x.n_a, x.n_b, x.n_baskets) for x in associated_pairs(df, "s", "k", "i").collect()}
+    monkeypatch.undo()
+    assert got == {(x.s, x.a, x.b): (x.n_ab, x.n_a, x.n_b, x.n_baskets) for x in associated_pairs(df, "s", "k", "i").collect()} and len(got) > 50
+
+
 def unit(x):
     return x / np.linalg.norm(x, axis=-1, keepdims=True)
 
