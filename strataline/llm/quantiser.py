@@ -47,11 +47,13 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = LLOYD)
 
 @dataclass
 class Quantiser:
-    coarse: np.ndarray  # cells x dim
+    coarse: np.ndarray  # centres x dim
     books: np.ndarray  # BOOKS x words x dim
+    #: Residual books that cells are split by: a cell is a coarse centre and the nearest word of each of them in turn.
+    deep: int = 0
 
     @classmethod
-    def train(cls, x: np.ndarray, cells: int, seed: int = 7) -> Quantiser:
+    def train(cls, x: np.ndarray, cells: int, deep: int = 0, seed: int = 7) -> Quantiser:
         rng = np.random.default_rng(seed)
         coarse = kmeans(x, cells, rng)
         left = x - coarse[_nearest(x, coarse)]
@@ -62,7 +64,11 @@ class Quantiser:
                 words = np.concatenate([words, np.zeros((WORDS - len(words), x.shape[1]), x.dtype)])
             left = left - words[_nearest(left, words)]
             books.append(words)
-        return cls(coarse, np.stack(books))
+        return cls(coarse, np.stack(books), deep)
+
+    def centre_of(self, cell: np.ndarray) -> np.ndarray:
+        """The coarse centre of a cell."""
+        return cell // WORDS**self.deep
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, words (BOOKS each) and norm of the sum for every row."""
@@ -88,6 +94,12 @@ class Quantiser:
             row = np.arange(len(base))
             codes[part] = words[row, at]
             norms[part] = np.maximum(np.linalg.norm(x[part] - left[row, at], axis=1), 1e-6)
+        if self.deep:
+            left = x - self.coarse[cell]
+            for book in self.books[: self.deep]:
+                word = _nearest(left, book)
+                left = left - book[word]
+                cell = cell * WORDS + word
         return cell, codes, norms
 
     def fits(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -95,20 +107,29 @@ class Quantiser:
         out = np.empty(len(x))
         for k in range(0, len(x), 2048):
             part = slice(k, k + 2048)
-            near = self.coarse[cell[part]].astype(np.float64)
+            near = self.coarse[self.centre_of(cell[part])].astype(np.float64)
             for b in range(BOOKS):
                 near += self.books[b][codes[part, b]]
             out[part] = (x[part] * near).sum(1) / np.maximum(np.linalg.norm(near, axis=1), 1e-6)
         return np.clip(out, -1, 1)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        """The n nearest cells of each row."""
-        n = min(n, len(self.coarse))
-        half = 0.5 * (self.coarse * self.coarse).sum(1)
-        out = np.empty((len(x), n), np.int64)
-        for k in range(0, len(x), 4096):
-            near = x[k : k + 4096] @ self.coarse.T - half
-            out[k : k + 4096] = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        """The n nearest cells of each row; in deep cells, of those that split the n nearest cells of the level above."""
+        out = np.empty((len(x), min(n, len(self.coarse) * WORDS**self.deep)), np.int64)
+        step = 4096 if not self.deep else 256
+        for k in range(0, len(x), step):
+            part = x[k : k + step]
+            far = (self.coarse * self.coarse).sum(1) - 2 * (part @ self.coarse.T)
+            cells = np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n]
+            centre = self.coarse[cells] if self.deep else None
+            for book in self.books[: self.deep]:
+                ends = centre[:, :, None, :] + book  # rows x cells x words x dim
+                far = ((ends - part[:, None, None, :]) ** 2).sum(3).reshape(len(part), -1)
+                best = np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n]
+                row = np.arange(len(part))[:, None]
+                cells = cells[row, best // WORDS] * WORDS + best % WORDS
+                centre = ends.reshape(len(part), -1, part.shape[1])[row, best]
+            out[k : k + step] = cells
         return out
 
     def tables(self, q: np.ndarray) -> np.ndarray:
@@ -116,23 +137,23 @@ class Quantiser:
         return (self.books.reshape(-1, q.shape[1]) @ np.ascontiguousarray(q.T)).reshape(*self.books.shape[:2], len(q))
 
     def scores(self, tables: np.ndarray, on_coarse: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Approximate cosines, queries x members. on_coarse: the queries' products with the members' centres."""
-        total = np.ascontiguousarray(on_coarse.T, dtype=np.float32)
+        """Approximate cosines, members x queries. on_coarse: the members' centres' products with the queries; it is overwritten."""
         for b in range(BOOKS):
-            total += tables[b][codes[:, b]]
-        total /= norms[:, None]
-        return np.ascontiguousarray(total.T)
+            on_coarse += tables[b][codes[:, b]]
+        on_coarse /= norms[:, None]
+        return on_coarse
 
 
 def may_reach(scores: np.ndarray, norms: np.ndarray, fits: np.ndarray, goals: np.ndarray) -> np.ndarray:
-    """Queries x members: whether the exact cosine may be the query's goal or more.
+    """Members x queries: whether the exact cosine may be the query's goal or more.
 
     The angle to a member is at least the one to its code less the one between both, so the
     score must be cos(arccos(goal) + arccos(fit)) or more. Where that says nothing all members are open.
     """
     t = np.clip(goals, -1, 1)
-    least = np.stack([t, -np.sqrt(1 - t * t)], axis=1) @ np.stack([fits, np.sqrt(1 - fits * fits)])
-    found = scores >= least - SLACK
-    found[:, norms < WEAK] = True
-    found[t < -fits.min()] = True
+    least = np.stack([fits, -np.sqrt(1 - fits * fits)], axis=1).astype(np.float32) @ np.stack([t, np.sqrt(1 - t * t)]).astype(np.float32)
+    least -= SLACK
+    found = scores >= least
+    found[norms < WEAK] = True
+    found[:, t < -fits.min()] = True
     return found

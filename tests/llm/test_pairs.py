@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from strataline.llm import neighbours as N
 from strataline.llm import spans as S
 from strataline.llm.cooccurrence import associated_pairs
 from strataline.llm.handwritten import classify_files, edited_copies
@@ -57,8 +58,8 @@ def test_quantiser_scores_are_sums_of_words():
     cell, codes, norms = q.encode(x)
     near = q.coarse[cell] + sum(q.books[b][codes[:, b]] for b in range(BOOKS))
     assert np.allclose(np.linalg.norm(near, axis=1), norms, atol=1e-4)
-    got = q.scores(q.tables(x[:5]), x[:5] @ q.coarse[cell].T, codes, norms)
-    assert np.allclose(got, x[:5] @ near.T / norms, atol=1e-4)
+    got = q.scores(q.tables(x[:5]), q.coarse[cell] @ x[:5].T, codes, norms)
+    assert np.allclose(got.T, x[:5] @ near.T / norms, atol=1e-4)
     assert np.linalg.norm(x - near, axis=1).mean() < 0.6
 
 
@@ -89,7 +90,7 @@ def test_neighbours_against_brute_force(spark):
     got = {(r.model, min(r.node_id, r.other_id), max(r.node_id, r.other_id)) for r in index.neighbours(5, 0.9).collect()}
     assert len(got & want) / len(want) >= 0.97 and len(got - want) <= 0.03 * len(want)
     found = {}
-    for r in index.neighbours(5, everywhere=True, rerank=64).orderBy("node_id", "rank").collect():
+    for r in index.neighbours(5, everywhere=True).orderBy("node_id", "rank").collect():
         found.setdefault((r.model, r.node_id), []).append(round(r.cosine, 5))
     hits = sum(sum((Counter(found.get(k, [])) & Counter(v)).values()) for k, v in lists.items())
     assert hits / sum(map(len, lists.values())) >= 0.95
@@ -115,10 +116,32 @@ def test_bound_leaves_no_near_member_out():
     q = Quantiser.train(x.astype(np.float32), 4)
     cell, codes, norms = q.encode(x.astype(np.float32))
     small = x[::7].astype(np.float32)
-    scores = q.scores(q.tables(small), small @ q.coarse[cell].T, codes, norms)
+    scores = q.scores(q.tables(small), q.coarse[cell] @ small.T, codes, norms)
     for goal in (-0.9, -0.2, 0.3, 0.9, 0.99):
         kept = may_reach(scores, norms, q.fits(x, cell, codes), np.full(len(small), goal))
-        assert kept[x[::7] @ x.T >= goal].all() and (goal < 0.9 or not kept.all())
+        assert kept[x @ x[::7].T >= goal].all() and (goal < 0.9 or not kept.all())
+
+
+@pytest.mark.parametrize("deep", [1, 2])
+def test_deep_cells_split_coarse_ones(deep):
+    r = np.random.default_rng(6)
+    x = unit(r.normal(size=(900, 12))).astype(np.float32)
+    q = Quantiser.train(x, 4, deep)
+    cell, codes, norms = q.encode(x)
+    assert (q.centre_of(cell) == Quantiser(q.coarse, q.books).encode(x)[0]).all() and len(np.unique(cell)) > 100
+    probes = q.probes(x[:50], 24)
+    assert all(len(set(p)) == 24 for p in probes.tolist()) and np.mean([c in p for c, p in zip(cell, probes.tolist())]) > 0.95
+
+
+def test_index_of_deep_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "MOST_COARSE", 2)
+    monkeypatch.setattr(N, "CELL", 40)
+    monkeypatch.setattr(N, "SENT_CELLS", 0)  # the table of cells is joined, not sent
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=(500, 16)), r.normal(size=(100, 16)).repeat(15, axis=0) + 0.3 * r.normal(size=(1500, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", 16, v.tolist()) for i, v in enumerate(x)], "node_id long, model string, dim int, vec array<float>")
+    got = N.recall(N.VectorIndex(df), 5, 1).collect()
+    assert got[0].n_wanted == 10_000 and got[0].recall >= 0.9
 
 
 def test_recall_on_the_data(spark, sf_dir):
