@@ -10,16 +10,20 @@ passages are cut alike wherever they stand, and no sentence is longer than ``REA
    same rule within a reach that leaves room for the way to the first boundary, so any
    passage of the minimum length holds at least one whole run that is hashed in every text
    with that passage.
-2. Runs are joined globally by hash; those met in one text only drop out. Equal texts count
-   as one text, known by the hash of its content.
+2. Runs are joined globally by hash; those met in one text only drop out. Equal texts (by
+   SHA-256) count as one text.
 3. For what is left, the text around each run is compared, character by character, which
    gives the exact common passages. Runs met in many texts are not compared pair by pair:
-   their surroundings are cut into all passages of the minimum length, grouped by hash.
+   equal surroundings (bodies) become one, bodies are cut into all passages of the minimum
+   length, these are grouped by hash, and each is compared with one passage of its group.
+
+A hash thus only proposes; what is reported was compared. Jobs run while SharedSpans is made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -228,17 +232,37 @@ def _compare(min_chars: int):
 
 
 def _passages(min_chars: int):
-    """Every passage of the minimum length around a run, as a hash, with its place."""
+    """Every passage of the minimum length in a body, as a hash, with its place and the body's least and greatest text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for cls, pos, body in zip(b.column("cls").to_pylist(), b.column("pos").to_pylist(), b.column("body").to_pylist()):
+            for bid, lo, hi, body in zip(*(b.column(c).to_pylist() for c in ("bid", "lo", "hi", "body"))):
                 chars = _chars(body)
                 at = np.arange(max(0, len(chars) - min_chars + 1))
-                out.append((np.full(len(at), cls), Hasher(chars).of(at, at + min_chars).view(np.int64), (at + pos).astype(np.int32)))
+                same = np.ones(len(at), np.int64)
+                out.append((same * bid, same * lo, same * hi, Hasher(chars).of(at, at + min_chars).view(np.int64), at.astype(np.int32)))
             for k in range(0, len(out), 2_000):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out[k : k + 2_000])], names=["cls", "passage", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out[k : k + 2_000])], names=["bid", "lo", "hi", "passage", "off"])
+
+    return work
+
+
+_TOLD = pa.schema([("bid", pa.int64()), ("passage", pa.int64()), ("off", pa.int32()), ("other", pa.string())])
+
+
+def _told_apart(min_chars: int):
+    """Passages of a body as they are, with ``other``: null if they equal the passage that stands for their group, else their text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in _TOLD.names}
+            for bid, body, model, places in zip(*(b.column(c).to_pylist() for c in ("bid", "body", "model", "places"))):
+                for p in places:
+                    text = body[p["off"] : p["off"] + min_chars]
+                    for c, v in zip(out, (bid, p["passage"], p["off"], None if model.startswith(text, p["at"]) else text)):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=_TOLD)
 
     return work
 
@@ -257,8 +281,17 @@ class SharedSpans:
         self.key, self.min_chars = key, min_chars
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-        long = self.docs.filter(F.length("text") >= min_chars).withColumn("cls", F.xxhash64("text"))
-        self.members = materialize(long.select("doc", "cls").distinct(), "members")
+        long = self.docs.filter(F.length("text") >= min_chars)
+        seed = 0
+        while True:  # a class is known by a short hash; another one is taken if two texts of different SHA-256 have the same
+            coded = long.select("doc", F.xxhash64("text", F.lit(seed)).alias("cls"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+            coded = materialize(coded.distinct(), "members")
+            if coded.groupBy("cls").agg((F.min("sha") != F.max("sha")).alias("clash")).filter("clash").isEmpty():
+                break
+            seed += 1
+        self.members = coded.drop("sha")
+        long = long.withColumn("cls", F.xxhash64("text", F.lit(seed)))
+        self.firsts = materialize(self.members.groupBy("cls").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies")), "firsts")
 
         runs = long.select("cls", "text").mapInArrow(_emit_runs(min_chars), "cls long, run long, pos int, len int, loops boolean")
         runs = materialize(runs, "runs")
@@ -268,64 +301,122 @@ class SharedSpans:
         shared = salted_join(runs.drop("loops"), met, ["run"], "cls")
         shared = materialize(shared.select("run", "cls", "pos", "len", "n").distinct(), "shared")
 
-        firsts = self.members.groupBy("cls").agg(F.min("doc").alias("doc"))
-        wanted = shared.groupBy("cls").agg(F.collect_list(F.struct("run", "pos", "len", "n")).alias("runs")).join(firsts, "cls")
-        texts = wanted.join(self.docs, "doc").select("cls", "runs", "text")
+        wanted = shared.groupBy("cls").agg(F.collect_list(F.struct("run", "pos", "len", "n")).alias("runs")).join(self.firsts, "cls")
+        # a key may have several texts
+        texts = wanted.join(self.docs, "doc").filter(F.xxhash64("text", F.lit(seed)) == F.col("cls")).select("cls", "runs", "text")
         schema = "run long, cls long, pos int, mid int, body string, n long"
         around = materialize(texts.mapInArrow(_around(min_chars), schema), "around")
 
         few = around.filter(F.col("n") <= FEW).groupBy("run").agg(F.collect_list(F.struct("cls", "pos", "mid", "body")).alias("members"))
         linked = few.select("members").mapInArrow(_compare(min_chars), _PAIRS)
         self.linked = materialize(linked.distinct(), "linked")
-        many = around.filter(F.col("n") > FEW).select("cls", "pos", "body").mapInArrow(_passages(min_chars), "cls long, passage long, pos int").distinct()
-        ends = many.groupBy("passage").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi")
-        self.grouped = materialize(many.join(ends.select("passage"), "passage"), "grouped")
+        self._group(around.filter(F.col("n") > FEW).select("cls", "pos", "body").distinct())
+
+    def _group(self, hot: DataFrame) -> None:
+        """bodies: bid, body, cls (a row for each text with the body, at pos); grouped: bid, off, passage, other of passages met in several texts."""
+        hot = materialize(hot, "hot")
+        each = hot.groupBy("body").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n_refs"))
+        each = materialize(each.withColumn("bid", F.monotonically_increasing_id()), "bodies")
+        self.bodies = materialize(salted_join(hot, each.select("body", "bid", "n_refs"), ["body"], "cls").select("bid", "cls", "pos"), "held")
+        cut = each.select("bid", "lo", "hi", "body").mapInArrow(_passages(self.min_chars), "bid long, lo long, hi long, passage long, off int")
+        cut = materialize(cut, "passages")
+        groups = cut.groupBy("passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("bid", "off")).alias("model"), F.count(F.lit(1)).alias("n_refs")).filter("lo <> hi")
+        met = salted_join(cut.select("passage", "bid", "off"), groups.select("passage", "model", "n_refs"), ["passage"], "bid")
+        pairs = met.groupBy("bid", F.col("model.bid").alias("mid")).agg(F.collect_list(F.struct("off", "passage", F.col("model.off").alias("at"))).alias("places"))
+        pairs = materialize(pairs, "met")
+        models = pairs.groupBy("mid").agg(F.count(F.lit(1)).alias("n_refs")).join(each.select(F.col("bid").alias("mid"), F.col("body").alias("model")), "mid")
+        texts = salted_join(pairs, models, ["mid"], "bid").join(each.select("bid", "body", "lo", "hi"), "bid")
+        told = texts.select("bid", "body", "model", "places").mapInArrow(_told_apart(self.min_chars), "bid long, passage long, off int, other string")
+        # without a clash of hashes ``other`` is null throughout, and the groups are as they were
+        self.grouped = materialize(told, "grouped")
+        if not self.grouped.filter("other is not null").isEmpty():
+            ends = self.grouped.join(each.select("bid", "lo", "hi"), "bid")
+            w = Window.partitionBy("passage", "other")
+            ends = ends.withColumn("lo", F.min("lo").over(w)).withColumn("hi", F.max("hi").over(w)).filter("lo <> hi")
+            self.grouped = materialize(ends.drop("lo", "hi"), "grouped")
 
     def class_pairs(self) -> DataFrame:
         """a, b: classes of equal texts that share a passage, a < b."""
         direct = self.linked.select("a", "b")
-        # groups of passages with one set of members need be paired once: they are known by a hash of the set
-        sets = self.grouped.select("passage", "cls").distinct()
-        sign = sets.groupBy("passage").agg(F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.hash("cls", F.lit(7)).cast("long")).alias("s2"), F.count(F.lit(1)).alias("n_items"))
-        one = materialize(sign.groupBy("s1", "s2", "n_items").agg(F.min("passage").alias("passage")), "sets")
-        pairs = pairs_of_arrays(chunk_pairs(sets, ["passage"], "cls", one.select("passage", "n_items"), CHUNK, F.xxhash64("cls")), [])
+        # groups of passages with one set of bodies need be paired once: they are known by a hash of the set, and only the least of them is kept
+        sets = self.grouped.select("passage", "other", "bid").distinct()
+        sign = sets.groupBy("passage", "other").agg(F.sum(F.xxhash64("bid").cast("decimal(38,0)")).alias("s1"), F.bit_xor(F.xxhash64("bid", F.lit(7))).alias("s2"), F.count(F.lit(1)).alias("n_refs"))
+        one = sign.groupBy("s1", "s2", "n_refs").agg(F.min(F.struct("passage", "other")).alias("p")).select("p.*", "n_refs").withColumn("set", F.monotonically_increasing_id())
+        one = materialize(one, "sets").select("passage", F.coalesce("other", F.lit("")).alias("other"), "n_refs", "set")
+        held = salted_join(sets.withColumn("other", F.coalesce("other", F.lit(""))), one, ["passage", "other"], "bid").select("set", "bid")
+        use = materialize(self.bodies.select("bid", "cls").distinct(), "texts")
+        members = salted_join(use, held.join(use.groupBy("bid").agg(F.count(F.lit(1)).alias("n_refs")), "bid"), ["bid"], "cls")
+        members = materialize(members.select("set", "cls").distinct(), "sets")
+        sizes = members.groupBy("set").agg(F.count(F.lit(1)).alias("n_items")).filter("n_items > 1")
+        pairs = pairs_of_arrays(chunk_pairs(members, ["set"], "cls", sizes, CHUNK, F.xxhash64("cls")), [])
         return direct.unionByName(pairs).distinct()
 
     def pairs(self) -> DataFrame:
         """doc_a, doc_b: every pair of documents that shares a passage, equal texts included."""
         cls = materialize(self.class_pairs(), "pairs")
-        left = self.members.select(F.col("cls").alias("a"), F.col("doc").alias("x"))
-        right = self.members.select(F.col("cls").alias("b"), F.col("doc").alias("y"))
-        apart = cls.join(left, "a").join(right, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+        # copies and links of a class multiply: each end is joined with the documents of its class, dealt out
+        ends = lambda c: cls.groupBy(c).agg(F.count(F.lit(1)).alias("n_refs"))
+        side = lambda c, d: self.members.select(F.col("cls").alias(c), F.col("doc").alias(d)).join(ends(c), c)
+        apart = salted_join(salted_join(cls, side("a", "x"), ["a"], "b"), side("b", "y"), ["b"], "x").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
         copies = self.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_items")).filter("n_items > 1")
         equal = pairs_of_arrays(chunk_pairs(self.members, ["cls"], "doc", copies, CHUNK, F.xxhash64("doc")), [], "doc_a", "doc_b")
         return apart.unionByName(equal)
 
     def classes(self) -> DataFrame:
         """doc, class (the least document with the same text), n_copies, n_links (other texts it shares a passage with)."""
-        firsts = self.members.groupBy("cls").agg(F.min("doc").alias("class"), F.count(F.lit(1)).alias("n_copies"))
+        firsts = self.firsts.select("cls", F.col("doc").alias("class"), "n_copies")
         pairs = self.class_pairs()
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
         links = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
         per_class = firsts.join(links, "cls", "left")
-        return self.members.join(per_class, "cls").select(F.col("doc").alias(self.key), "class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-    def _covered(self) -> DataFrame:
-        """cls, lo, hi: disjoint stretches of a text that stand in another, different text, too."""
-        both = self.linked.select(F.col("a").alias("cls"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"))
-        both = both.unionByName(self.linked.select(F.col("b").alias("cls"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi")))
-        both = both.unionByName(self.grouped.select("cls", F.col("pos").alias("lo"), (F.col("pos") + self.min_chars).alias("hi"))).distinct()
-        w = Window.partitionBy("cls").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-        begins = both.withColumn("before", F.max("hi").over(w))
+        per_class = per_class.withColumn("n_refs", F.col("n_copies"))
+        return salted_join(self.members, per_class, ["cls"], "doc").select(F.col("doc").alias(self.key), "class", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    def _stretches(self, runs: DataFrame, by: str) -> DataFrame:
+        """by, lo, hi: the runs (by, lo, hi) joined where they touch or overlap."""
+        w = Window.partitionBy(by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+        begins = runs.distinct().withColumn("before", F.max("hi").over(w))
         begins = begins.withColumn("first", F.when(F.col("before").isNull() | (F.col("lo") > F.col("before")), F.lit(1)).otherwise(F.lit(0)))
-        part = F.sum("first").over(Window.partitionBy("cls").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0))
-        return begins.withColumn("part", part).groupBy("cls", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("part")
+        part = F.sum("first").over(Window.partitionBy(by).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0))
+        return begins.withColumn("part", part).groupBy(by, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("part")
+
+    def _covered(self, later: bool = False) -> DataFrame:
+        """cls, lo, hi: disjoint stretches of a text that stand in another, different text, too.
+
+        ``later``: in one whose first document is less than this text's first.
+        """
+        linked, groups = self.linked, self.grouped
+        sides = [(x, y, F.lit(True)) for x, y in (("a", "b"), ("b", "a"))]
+        if later:
+            order = lambda c: self.firsts.select(F.col("cls").alias(c), F.col("doc").alias(f"{c}_doc"))
+            linked = materialize(linked.join(order("a"), "a").join(order("b"), "b"), "ordered")
+            sides = [(x, y, F.col(f"{y}_doc") < F.col(f"{x}_doc")) for x, y, _ in sides]
+        parts = [linked.filter(keep).select(F.col(x).alias("cls"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi")) for x, y, keep in sides]
+        # the passages of a body are joined to stretches before they are put into each of its texts
+        runs = groups.select("bid", F.col("off").alias("lo"), (F.col("off") + self.min_chars).alias("hi"))
+        held = self.bodies
+        if later:
+            # a body's passages come first in the text with the least first document; elsewhere they are later ones
+            held = held.join(self.firsts.select("cls", "doc"), "cls")
+            least = held.groupBy("bid").agg(F.min("doc").alias("least"))
+            firsts = groups.join(least, "bid").groupBy("passage", F.coalesce("other", F.lit("")).alias("other")).agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n_refs"))
+            placed = salted_join(groups.withColumn("other", F.coalesce("other", F.lit(""))), firsts, ["passage", "other"], "bid")
+            runs = placed.select(F.concat_ws(" ", F.col("bid"), F.col("first")).alias("key"), "bid", "first", F.col("off").alias("lo"), (F.col("off") + self.min_chars).alias("hi"))
+            names = runs.select("key", "bid", "first").distinct()
+            joined = self._stretches(runs.select("key", "lo", "hi"), "key").join(names, "key").drop("key")
+        else:
+            joined = self._stretches(runs, "bid")
+        joined = joined.join(held.groupBy("bid").agg(F.count(F.lit(1)).alias("n_refs")), "bid")
+        put = salted_join(held, joined, ["bid"], "cls")
+        put = put.filter(F.col("doc") > F.col("first")) if later else put
+        parts.append(put.select("cls", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi")))
+        return self._stretches(reduce(DataFrame.unionByName, parts), "cls")
 
     def report(self) -> DataFrame:
         """For every document: its length, the characters shared with other documents, their share and the runs."""
         spans = self._covered().groupBy("cls").agg(F.sum(F.col("hi") - F.col("lo")).cast("long").alias("part"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-        copies = self.members.groupBy("cls").agg(F.count(F.lit(1)).alias("n_copies"))
-        known = self.members.join(copies, "cls").join(spans, "cls", "left").drop("cls")
+        known = self.firsts.select("cls", "n_copies").join(spans, "cls", "left").withColumn("n_refs", F.col("n_copies"))
+        known = salted_join(self.members, known, ["cls"], "doc").drop("cls")
         n = F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))
         sized = self.docs.select("doc", n.alias("n_chars")).join(known, "doc", "left")
         whole = F.coalesce(F.col("n_copies") > 1, F.lit(False))
@@ -340,45 +431,32 @@ class SharedSpans:
 
 
 def remove_repeated(docs: DataFrame, key: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(key, n_chars, kept): texts without the sentences that an earlier record has already shown.
+    """(key, n_chars, kept): texts without the passages of ``min_chars`` and more that an earlier record has already shown.
 
-    A run of sentences is repeated if it stands in several places; its first place is the one in
-    the least key, then the least position. Sentences under any other place of it are removed.
-    Whole copies keep nothing but what lies before the first and after the last boundary.
-    Null texts stay null. Records with a null key or a repeated one are handled as they come.
+    Records are ordered by their key. Every place of a repeated span but that in the least record
+    that has it is removed, to the character; a copy of a whole text keeps nothing. What a text
+    repeats only within itself stays. Null and shorter texts stay as they are. Keys are unique and not null.
     """
-    flat = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, t in zip(b.column(0), b.column(1).to_pylist()):
-                hashes, starts, lengths, _ = runs_of(_chars(t), min_chars)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc.as_py()] * len(starts), b.schema.field(0).type), pa.array(hashes.view(np.int64)), pa.array(starts.astype(np.int32)), pa.array(lengths.astype(np.int32))],
-                    names=["doc", "run", "pos", "len"],
-                )
-
-    kind = flat.schema[0].dataType.simpleString()
-    runs = flat.filter(F.length("text") >= min_chars).mapInArrow(emit, f"doc {kind}, run long, pos int, len int")
-    runs = materialize(runs, "runs")
-    place = F.struct("doc", "pos")
-    met = runs.groupBy("run").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_refs")).filter("n_refs > 1")
-    later = salted_join(runs, met, ["run"], "pos").filter(place != F.col("first"))
-    gone = later.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "len"))).alias("gone"))
+    spans = SharedSpans(docs, key, text, min_chars)
+    gone = spans._covered(later=True).groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("gone"))
+    known = spans.firsts.select("cls", F.col("doc").alias("first"), F.col("n_copies").alias("n_refs")).join(gone, "cls", "left")
+    known = salted_join(spans.members, known, ["cls"], "doc")
+    cuts = known.select("doc", F.when(F.col("doc") == F.col("first"), F.col("gone")).alias("gone"), (F.col("doc") != F.col("first")).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for t, gaps, copy in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
                 at, parts = 0, []
-                for s in spans or ():
-                    if s["pos"] > at:
-                        parts.append(t[at : s["pos"]])
-                    at = max(at, s["pos"] + s["len"])
-                kept.append(t if not spans else "".join(parts) + t[at:])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else len(t) for t in b.column(1).to_pylist()], pa.int64()), pa.array(kept, pa.string())], names=[key, "n_chars", "kept"])
+                for s in gaps or ():
+                    parts.append(t[at : s["lo"]])
+                    at = s["hi"]
+                kept.append("" if copy else t if not gaps else "".join(parts) + t[at:])
+            sizes = pa.array([None if t is None else len(t) for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(kept, pa.string())], names=[key, "n_chars", "kept"])
 
-    return flat.join(gone, "doc", "left").select("doc", "text", "gone").mapInArrow(cut, f"`{key}` {kind}, n_chars long, kept string")
+    kind = spans.docs.schema[0].dataType.simpleString()
+    return spans.docs.join(cuts, "doc", "left").select("doc", "text", "gone", "copy").mapInArrow(cut, f"`{key}` {kind}, n_chars long, kept string")
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> SharedSpans:
@@ -400,7 +478,7 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of each document that are left when repeated sentences are removed."""
+    """Characters of each document that are left when spans are removed that an earlier document has shown."""
     kept = remove_repeated(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     return kept.select("doc_id", "n_chars", F.length("kept").cast("long").alias("kept_chars"))
 
@@ -432,4 +510,11 @@ per_doc as (select doc_id, sum(hi - lo)::bigint as n, string_agg(lo || '-' || hi
 select d.doc_id, coalesce(length(text), 0)::bigint as n_chars, coalesce(n, 0) as shared_chars,
        case when length(text) > 0 then coalesce(n, 0) / length(text)::double else 0.0::double end as shared, coalesce(spans, '') as spans
 from documents d left join per_doc using (doc_id)""",
+    "p8_kept": _PASSAGES
+    + """, f as (select h, min(doc_id) as first from p group by h),
+s as (select doc_id, i from p join f using (h) where f.first < p.doc_id),
+starts as (select *, case when i - lag(i) over w <= 200 then 0 else 1 end as fresh from s window w as (partition by doc_id order by i)),
+parts as (select *, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as part from starts),
+gone as (select doc_id, sum(n)::bigint as n from (select doc_id, max(i) - min(i) + 200 as n from parts group by doc_id, part) group by doc_id)
+select d.doc_id, length(text)::bigint as n_chars, (length(text) - coalesce(n, 0))::bigint as kept_chars from documents d left join gone using (doc_id)""",
 }

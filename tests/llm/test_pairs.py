@@ -199,6 +199,35 @@ def test_spans_against_brute_force(spark, few, monkeypatch):
     classes = {r.doc_id: (r["class"], r.n_copies, r.n_links) for r in spans.classes().collect()}
     assert classes[40][:2] == (30, 2)
     assert S.SharedSpans(df.limit(0), "doc_id", "text").pairs().count() == 0
+    later = {}
+    for i, t in enumerate(docs):
+        for p in range(len(t or "") - 199):
+            if any(t[p : p + 200] in (u or "") for u in docs[:i]):
+                later.setdefault(i, set()).update(range(p, p + 200))
+    kept = {x.doc_id: x.kept for x in S.remove_repeated(df.dropDuplicates(["doc_id"]), "doc_id", "text").collect()}
+    assert kept == {i: t if t is None else "".join(c for k, c in enumerate(t) if k not in later.get(i, ())) for i, t in enumerate(docs)}
+
+
+def test_spans_when_hashes_of_passages_clash(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW", 1)
+    monkeypatch.setattr(S, "_passages", clashing)
+    docs = texts()
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {tuple(r) for r in S.SharedSpans(df, "doc_id", "text").pairs().collect()} == brute_pairs(docs, 200)[0]
+
+
+PASSAGES = S._passages
+
+
+def clashing(n):
+    """As _passages, but with hashes of two bits."""
+    plain = PASSAGES(n)
+
+    def work(batches):
+        for b in plain(batches):
+            yield b.set_column(b.schema.get_field_index("passage"), "passage", S.pa.array(b["passage"].to_numpy() & 3))
+
+    return work
 
 
 def test_long_text_in_stretches(monkeypatch):
