@@ -52,8 +52,8 @@ SCORES, ASKED = 4_000_000, 512
 #: More (model, dim) groups than this are refused, as each has a quantiser in memory.
 MOST_GROUPS = 256
 
-_CODED = "grp int, cls long, n_nodes long, vec array<float>, cell int, codes binary, norm float, probes array<int>"
-_FOUND = "cls long, other long, cosine double"
+_CODED = "grp int, cls long, low long, n_nodes long, vec array<float>, cell int, codes binary, norm float, probes array<int>"
+_FOUND = "cls long, other long, low long, cosine double"
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
@@ -92,14 +92,14 @@ def _compared(asks: np.ndarray, x: np.ndarray, wanted: np.ndarray, many: np.ndar
         yield row, at, value
 
 
-def _best(rows: np.ndarray, at: np.ndarray, value: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest values of each row, equal ones by id."""
-    order = np.lexsort((ids[at], -value, rows))
+def _best(rows: np.ndarray, at: np.ndarray, value: np.ndarray, lows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest values of each row, equal ones by the members' least node."""
+    order = np.lexsort((lows[at], -value, rows))
     rows = rows[order]
     return order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
 
 
-def _nearest_members(near: np.ndarray, norms: np.ndarray, fits: np.ndarray, asks: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
+def _nearest_members(near: np.ndarray, norms: np.ndarray, fits: np.ndarray, asks: np.ndarray, x: np.ndarray, ids: np.ndarray, lows: np.ndarray, own: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
     """rows, members, cosines: for each ask the k nearest members other than ``own``, at ``least`` or nearer.
 
     near: scores, members x asks.
@@ -117,9 +117,10 @@ def _nearest_members(near: np.ndarray, norms: np.ndarray, fits: np.ndarray, asks
     for last in (m <= PARTS * 2, True):
         many = np.count_nonzero(first, axis=0) > max(WHOLE * m, 2 * PARTS)
         for rows, at, value in [*_compared(asks, x, first, many)]:
+            value = np.round(value, 9)
             ok = (value >= floor) & (ids[at] != own[rows])
             parts = [np.concatenate(p) for p in zip(parts, (rows[ok], at[ok], value[ok]))]
-        best = _best(*parts, ids, k)
+        best = _best(*parts, lows, k)
         parts = [p[best] for p in parts]
         if last:
             return tuple(parts)
@@ -146,12 +147,12 @@ class VectorIndex:
         while True:  # a class is known by a hash; another one is taken if two different vectors have the same
             ok2 = materialize(ok.withColumn("cls", F.xxhash64("model", "dim", "vec", F.lit(seed))), "vectors")
             whole = F.struct("model", "dim", "vec")
-            each = materialize(ok2.groupBy("cls").agg(F.min(whole).alias("v"), F.max(whole).alias("w"), F.count(F.lit(1)).alias("n_nodes")), "classes")
+            each = materialize(ok2.groupBy("cls").agg(F.min(whole).alias("v"), F.max(whole).alias("w"), F.min("node_id").alias("low"), F.count(F.lit(1)).alias("n_nodes")), "classes")
             if each.filter("v <> w").isEmpty():
                 break
             seed += 1
         self.members = ok2.select("cls", "node_id", "model", "dim")
-        each = each.select("cls", "n_nodes", "v.model", "v.dim", "v.vec")
+        each = each.select("cls", "low", "n_nodes", "v.model", "v.dim", "v.vec")
         groups = each.groupBy("model", "dim").agg(F.count(F.lit(1)).alias("n")).limit(MOST_GROUPS + 1).collect()
         if len(groups) > MOST_GROUPS:
             raise ValueError(f"more than {MOST_GROUPS} groups of model and dim")
@@ -170,7 +171,7 @@ class VectorIndex:
             raise ValueError(f"quantisers of {size} bytes: more than {MOST_BYTES}")
         plan = spark.createDataFrame([(i, m, d, -(-n // TRAIN), *shape[i]) for i, (m, d, n) in self.groups.items()], "grp int, model string, dim int, every long, cells int, deep int")
         # at most MOST_GROUPS rows
-        each = each.join(F.broadcast(plan), ["model", "dim"]).select("grp", "cls", "n_nodes", "vec", "every", "cells", "deep")
+        each = each.join(F.broadcast(plan), ["model", "dim"]).select("grp", "cls", "low", "n_nodes", "vec", "every", "cells", "deep")
 
         def train(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("cls")
@@ -195,24 +196,23 @@ class VectorIndex:
                     x = _unit(part.column("vec")).astype(np.float32)
                     cell, codes, norms = known[g].encode(x)
                     visits = known[g].probes(x, PROBES[known[g].deep]).astype(np.int32)
-                    size = x.shape[1]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(grp[grp == g].astype(np.int32)), part.column("cls"), part.column("n_nodes"),
-                            pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * size), pa.array(x.ravel())),
+                            pa.array(grp[grp == g].astype(np.int32)), part.column("cls"), part.column("low"), part.column("n_nodes"),
+                            part.column("vec"),
                             pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms),
                             pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * visits.shape[1]), pa.array(visits.ravel())),
                         ],
-                        names=["grp", "cls", "n_nodes", "vec", "cell", "codes", "norm", "probes"],
+                        names=["grp", "cls", "low", "n_nodes", "vec", "cell", "codes", "norm", "probes"],
                     )
 
-        self.coded = materialize(each.select("grp", "cls", "n_nodes", "vec").mapInArrow(encode, _CODED), "coded")
+        self.coded = materialize(each.select("grp", "cls", "low", "n_nodes", "vec").mapInArrow(encode, _CODED), "coded")
 
     def _search(self, queries: DataFrame, everywhere: bool, k: int, least: float) -> DataFrame:
         """cls, other, cosine: up to k other classes for each query class, best first found in blocks."""
         home = F.lit(0) if everywhere else F.col("cell")
         visit = F.array(F.lit(0)) if everywhere else F.col("probes")
-        members = self.coded.select("grp", home.alias("at"), "cls", "vec", "cell", "codes", "norm")
+        members = self.coded.select("grp", home.alias("at"), "cls", "low", "vec", "cell", "codes", "norm")
         visits = queries.select("grp", F.explode(visit).alias("at"), "cls", "vec")
         blocks = lambda n: F.ceil(F.col(n) / F.lit(float(BLOCK))).cast("int")
         grid = members.groupBy("grp", "at").agg(F.count(F.lit(1)).alias("m")).join(visits.groupBy("grp", "at").agg(F.count(F.lit(1)).alias("q")), ["grp", "at"])
@@ -231,12 +231,12 @@ class VectorIndex:
         shared = self.quantisers
 
         def score(key: tuple, have: pa.Table, ask: pa.Table) -> pa.Table:
-            out: list[list[np.ndarray]] = [[], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], []]
             if have.num_rows and ask.num_rows:
                 q = Quantiser(*pickle.loads(shared.value[key[0].as_py()]))
                 get = lambda t, c: t[c].combine_chunks()
                 x, y = _unit(get(have, "vec")), _unit(get(ask, "q_vec"))
-                ids, asks = get(have, "cls").to_numpy(), get(ask, "q_cls").to_numpy()
+                ids, lows, asks = get(have, "cls").to_numpy(), get(have, "low").to_numpy(), get(ask, "q_cls").to_numpy()
                 codes = np.frombuffer(b"".join(get(have, "codes").to_pylist()), np.uint8).reshape(-1, BOOKS)
                 cell, norms = get(have, "cell").to_numpy(), get(have, "norm").to_numpy()
                 fits = q.fits(x, cell, codes)
@@ -246,16 +246,16 @@ class VectorIndex:
                     part, own_ids = y[s : s + step], asks[s : s + step]
                     small = part.astype(np.float32)
                     near = q.scores(q.tables(small), (q.coarse[centres] @ small.T)[own], codes, norms)
-                    rows, at, value = _nearest_members(near, norms, fits, part, x, ids, own_ids, k, least)
-                    for o, v in zip(out, (own_ids[rows], ids[at], value)):
+                    rows, at, value = _nearest_members(near, norms, fits, part, x, ids, lows, own_ids, k, least)
+                    for o, v in zip(out, (own_ids[rows], ids[at], lows[at], value)):
                         o.append(v)
             if not out[0]:
-                return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["cls", "other", "cosine"])
-            return pa.table([np.concatenate(o) for o in out], names=["cls", "other", "cosine"])
+                return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["cls", "other", "low", "cosine"])
+            return pa.table([np.concatenate(o) for o in out], names=["cls", "other", "low", "cosine"])
 
         keys = ["grp", "at", "mb", "qb"]
         found = left.groupBy(*keys).cogroup(right.groupBy(*(f"q_{c}" for c in keys))).applyInArrow(score, _FOUND)
-        best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), "other"))
+        best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("cosine"), "low"))
         return found.withColumn("rank", best).filter(F.col("rank") <= k).drop("rank")
 
     def neighbours(self, k: int, least: float = -1.0, every: int = 1, everywhere: bool = False) -> DataFrame:
