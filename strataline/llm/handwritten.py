@@ -1,16 +1,18 @@
 """Generated, minified, vendored and data files among source files.
 
 1. Known copies: the hash is one of a published third-party file.
-2. Edited copies: heads are cut to lines without the leading comment, and an inverted index
-   of line hashes is built. Files of equal lines are one class. A class looks for the holders
-   of its rarest lines, so many that a file with a large enough share of its lines holds one
-   of them (prefix filter); lines of one repository only drop out. For each proposed pair the
-   share of the file's lines that the other holds is computed exactly.
-3. Banners and placing: the leading comment or the folder of a package names a package.
-4. What is left is judged by composition: generator's notes, generated names, numbered or
+2. Edited copies, by an inverted index of line hashes. Files of equal lines are one class. A
+   class looks for the holders of its rarest lines, so many that a file with a large enough
+   share of its lines holds one of them (prefix filter); lines of one repository only drop out.
+   For each proposed pair the share of the file's lines that the other holds is computed exactly.
+3. Edited copies of which little is left, or of which only the head is at hand, by the same
+   index over lines of comments: the share of a file's rare notes that a known copy in another
+   repository holds is computed exactly.
+4. Notes that cite a published package with its version, banners and folders of packages.
+5. What is left is judged by composition: generator's notes, generated names, numbered or
    repeated line shapes, line length and white space, and the share of data tokens.
 
-Everything is built of Spark's own string functions; nothing is collected.
+Everything is built of Spark's own string functions; nothing is collected. Jobs run while a result is planned.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from strataline.session import materialize, table
 LINE_CHARS = 12
 #: A file is an edited copy if it shares so many lines and such a share of them with one in another repository.
 SHARED_LINES, SHARED_PART = 4, 0.5
+#: A note says something if it has so many characters, and is rare if at most one in so many files, or a few, hold it.
+NOTE_CHARS, RARE, FEW = 8, 1_000, 8
 #: Holders of a line, and classes that look for it, whose pairs are made together.
 HOLDERS = 2_048
 #: A line so long with so little white space is not written by hand.
@@ -36,6 +40,10 @@ DATA_PART, DATA_CHARS = 0.8, 400
 #: Lines, and the share of different shapes among them, from which lines count as turned out by a program.
 SHAPE_LINES, SHAPE_PART = 8, 0.35
 
+# Patterns that the SQL uses too: a line of comment, and what stands around and inside the text of a line.
+NOTE = r"^\s*(//|#|/\*|\*|<!--)"
+MARKS = r"^[\s/*#<!-]+|[\s/*>-]+$"
+
 # Fixed patterns of the rules.
 SHEBANG = r"^\s*#![^\n]*\n\s*"
 # (possessive, so that a comment of any length needs no stack)
@@ -73,9 +81,12 @@ def _head_facts(heads: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(lines, lambda x: F.length(x)))
     facts = one.select("file_id", "head", "n_bytes", "n_lines", comment.alias("comment"), body.alias("body"), chars.alias("chars"), (F.lit(1) - tight / F.greatest(chars, F.lit(1))).alias("loose"), longest.alias("longest"))
     telling = F.filter(F.transform(F.split("body", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: F.length(x) >= LINE_CHARS)
+    plain = lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, MARKS, ""), r"\s+", " "))
+    notes = F.array_distinct(F.filter(F.transform(F.filter(F.split("head", "\n"), lambda x: x.rlike(NOTE)), plain), lambda x: F.length(x) >= NOTE_CHARS))
+    all_lines = F.filter(F.transform(F.split("head", "\n"), plain), lambda x: F.length(x) >= LINE_CHARS)
     # a cut head ends inside a line
     whole = F.when((F.col("chars") >= DATA_CHARS) & (F.size(F.split("body", "\n")) > 1), F.regexp_replace("body", r"\n[^\n]*$", "")).otherwise(F.col("body"))
-    return facts.withColumn("body", whole).withColumn("lines", telling)
+    return facts.withColumn("notes", notes).withColumn("all_lines", all_lines).withColumn("body", whole).withColumn("lines", telling)
 
 
 def _composition(facts: DataFrame) -> DataFrame:
@@ -85,17 +96,16 @@ def _composition(facts: DataFrame) -> DataFrame:
     is_data = (F.col("chars") >= DATA_CHARS) & (data >= DATA_PART)
     packed = (F.col("loose") <= LOOSE) & ((F.col("longest") >= LONG_LINE) | F.coalesce((per_line >= PACKED) & (F.col("longest") >= 120), F.lit(False)))
     turned_out = (F.size("lines") >= SHAPE_LINES) & (F.size(shapes) <= F.size("lines") * SHAPE_PART)
-    # of a comment, only as much as can be a note on the file
-    note = F.substring("comment", 1, 400)
+    note = F.col("comment")
     noted = note.rlike(MADE_NOTE) & ~note.rlike(NOT_MADE_NOTE)
     return facts.select(
-        "file_id", "lines", note.rlike(PACKAGE_NOTE).alias("package_note"), noted.alias("made_note"), is_data.alias("is_data"),
+        "file_id", "all_lines", "notes", note.rlike(PACKAGE_NOTE).alias("package_note"), noted.alias("made_note"), is_data.alias("is_data"),
         packed.alias("packed"), (turned_out | F.col("head").rlike(TRANSPILED)).alias("turned_out"),
     )
 
 
 def edited_copies(lines: DataFrame) -> DataFrame:
-    """id, copied_from: files with a large share of their lines in a file of another repository.
+    """id, copied_from, shared: files with a large share of their lines in a file of another repository.
 
     lines: id, repo, lines (array). Of several sources the one with most shared lines is named.
     A file without a repository is no evidence. No pair is left out: of n lines of which t must be
@@ -133,7 +143,37 @@ def edited_copies(lines: DataFrame) -> DataFrame:
     next_best = found.join(best, "cls").filter("o.repo <> best.repo").groupBy("cls").agg(F.max("o").alias("next"))
     best = best.join(next_best, "cls", "left").join(bags.select("cls", "n_refs"), "cls")
     named = salted_join(files.select("id", "repo", "cls"), best, ["cls"], "id")
-    return named.select("id", F.when(F.col("best.repo") != F.col("repo"), F.col("best.id")).otherwise(F.col("next.id")).alias("copied_from")).filter("copied_from is not null")
+    source = F.when(F.col("best.repo") != F.col("repo"), F.col("best")).otherwise(F.col("next"))
+    return named.select("id", source.alias("s")).filter("s is not null").select("id", F.col("s.id").alias("copied_from"), "s.shared")
+
+
+def noted_copies(notes: DataFrame, published: DataFrame) -> DataFrame:
+    """id, shared, n_notes: files at least half of whose rare notes are those of one published file, known in another repository.
+
+    notes: id, repo, notes (array) of all files. published: id, hash of known copies. A note is
+    rare if at most one in RARE of all files, or FEW files, hold it. ``shared`` is the most notes that one published file
+    shares with the file. A file without a repository is no evidence and is not judged.
+    """
+    each = materialize(notes.filter("repo is not null").select("id", "repo", F.explode("notes").alias("note")).distinct(), "notes")
+    most = max(FEW, notes.count() // RARE)
+    rare = each.groupBy("note").agg(F.count(F.lit(1)).alias("n_refs")).filter(F.col("n_refs") <= most)
+    # a published file is met in many repositories: two of them are enough to tell that one is another
+    known = each.join(published.select("id", "hash"), "id").groupBy("note", "hash").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    held = materialize(salted_join(each, rare, ["note"], "id"), "rare")
+    totals = held.groupBy("id").agg(F.count(F.lit(1)).alias("n_notes"))
+    keys = known.join(rare, "note")
+    met = salted_join(held, keys, ["note"], "id").filter("lo <> repo or hi <> repo")
+    shared = met.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max("shared").alias("shared"))
+    return shared.join(totals, "id").filter(F.col("shared") >= F.col("n_notes") * SHARED_PART).select("id", "shared", "n_notes")
+
+
+def citing(notes: DataFrame, third_party: DataFrame) -> DataFrame:
+    """id: files with a note that has the name and the version of a published package. notes: id, notes (array)."""
+    words = F.split("note", r"[^\w.@/-]+")
+    spoken = notes.select("id", F.explode("notes").alias("note")).select("id", words.alias("words"), F.explode(F.array_distinct(words)).alias("package"))
+    listed = third_party.select(F.lower("package").alias("package"), F.lower("version").alias("version")).dropna().distinct()
+    said = F.expr("exists(words, w -> ltrim('v', w) = version)")
+    return spoken.join(listed, "package").filter(said).select("id").distinct()
 
 
 def _folder(path: Column) -> Column:
@@ -163,10 +203,13 @@ def classify_files(files: DataFrame, heads: DataFrame, third_party: DataFrame) -
     packages = third_party.select(F.col("package").alias("folder")).dropna().distinct().withColumn("package", F.lit(True))
     stems = third_party.select(_stem(F.col("file_name")).alias("stem")).dropna().distinct().withColumn("usual", F.lit(True))
     whole = one.join(known, "hash", "left").join(packages, "folder", "left").join(stems, "stem", "left")
-    whole = whole.join(facts.drop("lines").withColumnRenamed("file_id", "id"), "id", "left")
+    whole = whole.join(facts.drop("all_lines", "notes").withColumnRenamed("file_id", "id"), "id", "left")
     whole = materialize(whole.drop("hash"), "whole")
-    copies = edited_copies(whole.select("id", "repo").join(facts.select(F.col("file_id").alias("id"), "lines"), "id").filter(F.size("lines") >= SHARED_LINES))
-    whole = whole.join(copies, "id", "left")
+    texts = whole.select("id", "repo").join(facts.select(F.col("file_id").alias("id"), F.col("all_lines").alias("lines"), "notes"), "id")
+    copies = edited_copies(texts.filter(F.size("lines") >= SHARED_LINES))
+    noted = noted_copies(texts, one.join(known, "hash", "left_semi")).select("id", F.lit(True).alias("noted"))
+    cited = citing(texts, third_party).withColumn("cited", F.lit(True))
+    whole = whole.join(copies, "id", "left").join(noted, "id", "left").join(cited, "id", "left")
 
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     headless = F.col("packed").isNull()
@@ -175,6 +218,9 @@ def classify_files(files: DataFrame, heads: DataFrame, third_party: DataFrame) -
     named = lambda p: F.coalesce(F.col("path").rlike(p), F.lit(False))
     rules = [
         (yes("known"), "vendored", "known hash"),
+        (F.col("copied_from").isNotNull(), "vendored", "lines of another repository"),
+        (yes("noted"), "vendored", "notes of a known copy"),
+        (yes("cited"), "vendored", "note of a package and its version"),
         (yes("package_note"), "vendored", "package banner"),
         (placed | (yes("package") & yes("usual")), "vendored", "package folder"),
         (yes("made_note"), "generated", "generator's note"),
@@ -183,7 +229,6 @@ def classify_files(files: DataFrame, heads: DataFrame, third_party: DataFrame) -
         (headless & named(SMALL_NAME), "minified", "name of a packed file"),
         (yes("turned_out"), "generated", "shape of lines"),
         (named(MADE_NAME), "generated", "name of a generated file"),
-        (F.col("copied_from").isNotNull(), "vendored", "lines of another repository"),
     ]
     verdict = F.lit(None).cast("struct<label:string,reason:string>")
     for fits, label, reason in reversed(rules):
@@ -205,5 +250,47 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir)
 
 
-QUERIES = {"p3_found": p3_found, "p3_files": p3_files}
-SQL: dict[str, str] = {}
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """id, repo, lines, notes of all files with a head; id, hash of known copies."""
+    files = table(spark, sf_dir, "files", "id", "hash", "repo").filter("id is not null").groupBy("id").agg(F.min("hash").alias("hash"), F.min("repo").alias("repo"))
+    heads = _head_facts(table(spark, sf_dir, "file_heads", "file_id", "n_bytes", "n_lines", "head")).select(F.col("file_id").alias("id"), F.col("all_lines").alias("lines"), "notes")
+    known = files.join(table(spark, sf_dir, "third_party", "hash").dropna().distinct(), "hash", "left_semi")
+    return files.join(heads, "id"), known
+
+
+def p3_line_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that share at least half of their lines with a file of another repository, and the most lines so shared."""
+    texts, _ = _texts(spark, sf_dir)
+    return edited_copies(texts).select(F.col("id").alias("file_id"), F.col("shared").cast("long").alias("shared"))
+
+
+def p3_noted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose rare notes are those of a known copy in another repository."""
+    return noted_copies(*_texts(spark, sf_dir)).select(F.col("id").alias("file_id"), "shared", "n_notes")
+
+
+QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_line_copies": p3_line_copies, "p3_noted_copies": p3_noted_copies}
+_LINES = f"""
+with f as (select id, min(hash) as hash, min(repo) as repo from files where id is not null group by id),
+h as (select f.id, f.repo, f.hash, head from f join (select file_id, max(head) as head from file_heads where file_id is not null group by file_id) on file_id = f.id),
+raw as materialized (select id, repo, hash, unnest(string_split(coalesce(head, ''), chr(10))) as l from h where repo is not null),
+plain as materialized (
+  select id, repo, hash, regexp_matches(l, '{NOTE}') as is_note, lower(regexp_replace(regexp_replace(l, '{MARKS}', '', 'g'), '\\s+', ' ', 'g')) as line from raw
+)
+"""
+SQL = {
+    "p3_line_copies": _LINES
+    + f""", w as materialized (select distinct id, repo, line from plain where length(line) >= {LINE_CHARS}),
+n as (select id, count(*) as n from w group by id),
+s as (select a.id, b.id as other, count(*) as shared from w a join w b on a.line = b.line and a.repo <> b.repo group by all)
+select s.id as file_id, max(shared) as shared from s join n on n.id = s.id where shared >= {SHARED_LINES} and shared >= n * {SHARED_PART} group by s.id""",
+    "p3_noted_copies": _LINES
+    + f""", w as materialized (select distinct id, repo, hash, line from plain where is_note and length(line) >= {NOTE_CHARS}),
+rare as (select line from w group by line having count(*) <= {FEW} or count(*) * {RARE} <= (select count(*) from h)),
+r as materialized (select * from w where line in (select line from rare)),
+n as (select id, count(*) as n_notes from r group by id),
+k as (select distinct line, hash, repo from r where hash in (select hash from third_party)),
+s as (select r.id, k.hash, count(distinct r.line) as shared from r join k on k.line = r.line and k.repo <> r.repo group by all),
+m as (select id, max(shared) as shared from s group by id)
+select m.id as file_id, shared, n_notes from m join n using (id) where shared >= n_notes * {SHARED_PART}""",
+}

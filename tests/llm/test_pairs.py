@@ -272,6 +272,19 @@ def test_file_kinds(spark):
     assert kinds(spark, rows[:1]) == {1: "handwritten"}
 
 
+def test_notes_of_known_copies(spark):
+    third = [("lib-x", "1.2", "util.js", "tp"), ("quux", "3.4.5", "a.js", "none")]
+    note = "/*\n * lib-x, as we got it {}\n */\n"
+    rows = [
+        (1, "deps/x/u.js", "tp", "r", note.format("in May") + HAND), (2, "src/own.js", "e1", "q", "// lib-x, as we got it in May\n" + HAND + "foo(bar, baz, 1);\n"),
+        (3, "src/same.js", "e2", "r", "// lib-x, as we got it in May\n" + HAND), (4, "src/other.js", "e3", "q", note.format("in June") + HAND), (5, "src/c.js", "e4", "q", "# built on quux 3.4.5 and changed\n" + HAND),
+        (6, "src/d.js", "e5", "q", "# quux 3.4.6 would be needed here\n" + HAND), (7, "src/e.js", "e6", None, note.format("in May") + HAND),
+    ]
+    for i, r in enumerate(rows):  # no two bodies are alike
+        rows[i] = (*r[:4], r[4].replace("node", f"node{i}").replace("child", f"c{i}").replace("b.js", f"b{i}.js"))
+    assert kinds(spark, rows, third) == {1: "vendored", 2: "vendored", 3: "handwritten", 4: "handwritten", 5: "vendored", 6: "handwritten", 7: "handwritten"}
+
+
 def test_very_long_heads(spark):
     rows = [(1, "a.py", "1", "r", "# word\n" * 30_000 + HAND), (2, "b.js", "2", "r", "/* x */\n" * 30_000), (3, "c.js", "3", "r", "[" * 100_000), (4, "d.js", "4", "r", "/* open " * 20_000), (5, "e.py", "5", "r", "\n" * 50_000)]
     assert kinds(spark, rows)[1] == "handwritten" and len(kinds(spark, rows)) == 5
