@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_LITERAL = set(".+^$()|\\{}[]*?")
 #: Keys under which a payload may name its file, first one first.
 TARGET_KEYS = ("file_path", "filePath", "path", "notebook_path", "notebookPath")
 
 
 class GlobError(ValueError):
-    """An unbalanced bracket in a glob."""
+    """A glob whose brackets or braces do not pair up, or whose class is empty."""
+
+
+# A glob is a run of these; what is none of them is a lone bracket.
+_PART = re.compile(r"(?P<span>\*\*/?)|(?P<one>[*?])|(?P<brace>[{},])|\[(?P<unlike>!?)(?P<chars>[^\]]+)\]|(?P<plain>[^*?{},\[]+)")
+_NAME, _SPAN = "[^/]*", "(?:[^/]*/)*"
+_BRACES = {"{": "(?:", ",": "|", "}": ")"}
 
 
 def glob_regex(pattern: str) -> str:
@@ -22,41 +29,25 @@ def glob_regex(pattern: str) -> str:
     ``*`` and ``?`` stay inside a segment, ``**`` (with a slash after it or at the end) spans
     segments, ``{a,b}`` are alternatives, ``[..]`` and ``[!..]`` classes.
     """
-    out, depth, i = [], 0, 0
-    while i < len(pattern):
-        ch = pattern[i]
-        i += 1
-        if ch == "*" and pattern[i : i + 1] == "*":
-            i += 1
-            if pattern[i : i + 1] == "/":
-                i += 1
-            out.append("(?:[^/]*/)*" if i < len(pattern) else "(?:[^/]*/)*[^/]*")
-        elif ch == "*":
-            out.append("[^/]*")
-        elif ch == "?":
-            out.append("[^/]")
-        elif ch == "{":
-            depth += 1
-            out.append("(?:")
-        elif ch == "}":
-            if not depth:
-                raise GlobError(f"unmatched '}}' in {pattern}")
-            depth -= 1
-            out.append(")")
-        elif ch == "," and depth:
-            out.append("|")
-        elif ch == "[":
-            end = pattern.find("]", i)
-            if end < 0:
-                raise GlobError(f"unclosed '[' in {pattern}")
-            inner = pattern[i:end]
-            out.append("[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]")
-            i = end + 1
-        else:
-            out.append("\\" + ch if ch in _LITERAL else ch)
-    if depth:
-        raise GlobError(f"unclosed '{{' in {pattern}")
-    return "^(?:" + "".join(out) + r")\z"
+    found = list(_PART.finditer(pattern))
+    if sum(len(m[0]) for m in found) != len(pattern):
+        raise GlobError(f"{pattern}: a class is empty or does not end")
+    opened = list(accumulate(({"{": 1, "}": -1}.get(m["brace"], 0) for m in found), initial=0))
+    if min(opened) < 0 or opened[-1]:
+        raise GlobError(f"{pattern}: braces do not pair up")
+
+    def translated(m: re.Match, level: int) -> str:
+        if m["span"]:
+            return _SPAN + (_NAME if m.end() == len(pattern) else "")
+        if m["one"]:
+            return _NAME if m["one"] == "*" else "[^/]"
+        if m["brace"]:
+            return _BRACES[m["brace"]] if level or m["brace"] == "{" else m["brace"]
+        if m["chars"]:
+            return f"[{'^' if m['unlike'] else ''}{m['chars']}]"
+        return re.sub(r"[][.+^$()|\\]", r"\\\g<0>", m["plain"])
+
+    return "^(?:" + "".join(map(translated, found, opened)) + r")\z"
 
 
 def glob_error(pattern: str) -> str | None:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strataline.operators.graph import path_back, reach
 
@@ -82,7 +81,7 @@ def trace(edges: DataFrame, nodes: DataFrame, files: DataFrame, start: str, goal
     calls = name_calls(edges, nodes, files)
     repos = calls.select("repo").distinct()
     forward = calls.select("repo", F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    reached = reach(forward, repos.withColumn("node", F.lit(start)), ["repo"], max_depth)
+    reached = reach(forward, repos.withColumn("node", F.lit(start)), ["repo"], max_depth, until=repos.withColumn("node", F.lit(goal)))
     found = path_back(reached, ["repo"], goal)
     return repos.join(found, "repo", "left").select("repo", F.array_join("path", " -> ").alias("path"), F.coalesce("hops", F.lit(-1)).alias("hops"))
 
@@ -119,31 +118,55 @@ def induced_links(pairs: DataFrame, included: DataFrame) -> DataFrame:
     return pairs.join(included.select(F.col("id").alias("s")), "s", "left_semi").join(included.select(F.col("id").alias("t")), "t", "left_semi").select("s", "t")
 
 
-def file_graph(edges: DataFrame, nodes: DataFrame, files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def file_graph(edges: DataFrame, nodes: DataFrame, files: DataFrame, kinds: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """repo, src_id, src, dst_id, dst, line: resolved edges between files of one repository, the first line of each pair.
 
-    ``kinds`` limits the kinds of edges; none or an empty list means all.
+    ``kinds`` limits the kinds of edges; none or an empty list means all. ``by`` (kind) keeps pairs of each kind apart.
     """
     some = edges.filter(F.col("target").isNotNull())
     some = some.filter(F.col("kind").isin(kinds)) if kinds else some
     goal = nodes.select(F.col("id").alias("target"), F.col("file_id").alias("dst_id"))
-    pairs = some.join(goal, "target").groupBy(F.col("src_file_id").alias("src_id"), "dst_id").agg(F.min("line").alias("line"))
+    pairs = some.join(goal, "target").groupBy(F.col("src_file_id").alias("src_id"), "dst_id", *by).agg(F.min("line").alias("line"))
     left = files.select(F.col("id").alias("src_id"), F.col("path").alias("src"), "repo")
     right = files.select(F.col("id").alias("dst_id"), F.col("path").alias("dst"), F.col("repo").alias("dst_repo"))
     whole = pairs.join(left, "src_id").join(right, "dst_id").filter("repo = dst_repo")
-    return whole.select("repo", "src_id", "src", "dst_id", "dst", "line")
+    return whole.select("repo", "src_id", "src", "dst_id", "dst", *by, "line")
 
 
-def unresolved_by_file(edges: DataFrame, files: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """repo, src, n: edges without a target per source file."""
+def unresolved_by_file(edges: DataFrame, files: DataFrame, kinds: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """repo, src, n: edges without a target per source file (and kind, if ``by`` has it)."""
     some = edges.filter(F.col("target").isNull())
     some = some.filter(F.col("kind").isin(kinds)) if kinds else some
-    counted = some.groupBy("src_file_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(files.select(F.col("id").alias("src_file_id"), F.col("path").alias("src"), "repo"), "src_file_id").select("repo", F.col("src_file_id").alias("src_id"), "src", "n")
+    counted = some.groupBy("src_file_id", *by).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(files.select(F.col("id").alias("src_file_id"), F.col("path").alias("src"), "repo"), "src_file_id").select("repo", F.col("src_file_id").alias("src_id"), "src", *by, "n")
 
 
-def first_targets(reached: DataFrame, hits: DataFrame, scope: list[str]) -> DataFrame:
-    """scope..., origin, hit, depth: for each origin the least node of ``hits`` (scope..., node) at the least depth above 0."""
-    ok = reached.filter("depth > 0").join(hits, [*scope, "node"], "left_semi")
-    w = Window.partitionBy(*scope, "origin").orderBy("depth", "node")
-    return ok.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*scope, "origin", F.col("node").alias("hit"), "depth")
+def explore(nodes: DataFrame, files: DataFrame, edges: DataFrame, name: str, sources: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """What is known of a name, a row for each node: rank, id, name, kind, repo, file, line, signature, exact, callees, callers, source.
+
+    The exact matches in the order of best_match, or else the first ``limit`` names that hold
+    the text (search), for which only the place is given. callees: struct<name, line, file>, by line then name,
+    unresolved ones with a null file; callers: struct<name, file, line>, by file, line and name. source: the node's
+    bytes of ``sources`` (file_id, text), null without it. A null or unknown name finds nothing. Jobs: one look whether there is an exact match.
+    """
+    found = best_match(nodes, files, name, limit)
+    exact = found.select("id", "name", "kind", "repo", F.col("path").alias("file"), F.col("start_line").alias("line"), "signature", "file_id", "start_byte", "end_byte", "rank")
+    calls = "array<struct<name:string,line:int,file:string>>", "array<struct<name:string,file:string,line:int>>"
+    if exact.isEmpty():
+        near = search(nodes, files, name, limit) if name else search(nodes, files, "", 0)
+        return near.select(F.lit(None).cast("int").alias("rank"), "id", "name", "kind", "repo", "file", "line", "signature", F.lit(False).alias("exact"), F.lit(None).cast(calls[0]).alias("callees"), F.lit(None).cast(calls[1]).alias("callers"), F.lit(None).cast("string").alias("source"))
+    out = callees(edges, nodes, files, exact)
+    out = out.groupBy(F.col("owner_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("line", "name", "file"))).alias("c"))
+    out = out.select("id", F.transform("c", lambda x: F.struct(x["name"].alias("name"), x["line"].alias("line"), x["file"].alias("file"))).alias("callees"))
+    into = callers(edges, nodes, files, exact)
+    into = into.groupBy(F.col("owner_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("file", "line", "name"))).alias("c"))
+    into = into.select("id", F.transform("c", lambda x: F.struct(x["name"].alias("name"), x["file"].alias("file"), x["line"].alias("line"))).alias("callers"))
+    whole = exact.join(out, "id", "left").join(into, "id", "left")
+    if sources is None:
+        whole = whole.withColumn("source", F.lit(None).cast("string"))
+    else:
+        at = F.col("start_byte").between(0, F.col("end_byte"))
+        part = F.when(at, F.expr("decode(substring(encode(text, 'UTF-8'), start_byte + 1, end_byte - start_byte), 'UTF-8')"))
+        whole = whole.join(sources.select("file_id", "text"), "file_id", "left").withColumn("source", part)
+    none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return whole.select("rank", "id", "name", "kind", "repo", "file", "line", "signature", F.lit(True).alias("exact"), none("callees", calls[0]), none("callers", calls[1]), "source")

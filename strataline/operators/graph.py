@@ -22,11 +22,13 @@ from strataline.session import materialize
 SCOPE_EDGES = 500_000
 
 
-def reach(edges: DataFrame, seeds: DataFrame, scope: list[str], max_depth: int | None = None, origin: list[str] | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, scope: list[str], max_depth: int | None = None, origin: list[str] | None = None, until: DataFrame | None = None) -> DataFrame:
     """scope..., origin..., node, depth, parent: nodes within max_depth of the seeds, seeds at 0.
 
     edges: scope..., src, dst. seeds: scope..., origin..., node. Among several parents of the
-    first level the least is kept. Null ends lead nowhere.
+    first level the least is kept. Null ends lead nowhere. A search (scope..., origin...) that
+    meets a node of ``until`` (scope..., node) after its seeds goes no further than that level.
+    A job runs for each level.
     """
     key = [*scope, *(origin or [])]
     edges = materialize(edges.select(*scope, "src", "dst").dropna().distinct(), "edges")
@@ -41,9 +43,47 @@ def reach(edges: DataFrame, seeds: DataFrame, scope: list[str], max_depth: int |
         if level.isEmpty():
             break
         levels.append(level)
+        if until is not None:
+            met = level.join(until, [*scope, "node"], "left_semi")
+            if not met.isEmpty():
+                level = level.join(met.select(*key).distinct(), key, "left_anti") if key else level.limit(0)
     return reduce(DataFrame.unionByName, levels)
 
 
+def nearest(edges: DataFrame, origins: DataFrame, goals: DataFrame, scope: list[str]) -> DataFrame:
+    """scope..., origin, hit, depth: for each of ``origins`` (scope..., node) the nearest other node of ``goals``, of equally near ones the least.
+
+    The search goes back from the goals and keeps one row for each node, whatever the number of
+    origins. Only origins that are goals themselves, which have to find another one, search forward.
+    """
+    edges = materialize(edges.select(*scope, "src", "dst").dropna().distinct(), "edges")
+    goals, origins = materialize(goals.select(*scope, "node").dropna().distinct(), "goals"), origins.select(*scope, "node").dropna().distinct()
+    level = goals.withColumn("hit", F.col("node")).withColumn("depth", F.lit(0))
+    levels, depth = [level], 0
+    while True:
+        depth += 1
+        back = edges.join(level.select(*scope, F.col("node").alias("dst"), "hit"), [*scope, "dst"]).groupBy(*scope, F.col("src").alias("node")).agg(F.min("hit").alias("hit"))
+        known = reduce(DataFrame.unionByName, [x.select(*scope, "node") for x in levels])
+        level = materialize(back.join(known, [*scope, "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    key = [*scope, "node"]
+    found = origins.join(reduce(DataFrame.unionByName, levels).filter("depth > 0"), key).select(*scope, F.col("node").alias("origin"), "hit", "depth")
+    both = materialize(origins.join(goals, key, "left_semi"), "both")
+    if both.isEmpty():
+        return found
+    far = reach(edges, both.select(*scope, F.col("node").alias("origin"), "node"), scope, None, ["origin"], goals)
+    return found.unionByName(first_targets(far, goals, scope))
+
+
+def first_targets(reached: DataFrame, hits: DataFrame, scope: list[str]) -> DataFrame:
+    """scope..., origin, hit, depth: for each origin the least node of ``hits`` (scope..., node) at the least depth above 0."""
+    ok = reached.filter("depth > 0").join(hits, [*scope, "node"], "left_semi")
+    best = ok.groupBy(*scope, "origin").agg(F.min(F.struct("depth", "node")).alias("b"))
+    return best.select(*scope, "origin", F.col("b.node").alias("hit"), F.col("b.depth").alias("depth"))
+
+
 def path_back(reached: DataFrame, scope: list[str], target: str) -> DataFrame:
     """scope..., path (array), hops: the way from a seed to ``target`` along parents, one row per scope that has it."""
     at = materialize(reached.filter(F.col("node") == target).select(*scope, F.array("node").alias("path"), "depth", "parent"), "path")
@@ -104,8 +144,10 @@ def _least_cycle(part: list, adj: dict) -> list:
     inside = set(part)
     best: list | None = None
     for start in part:
-        parent, level, found = {start: None}, [start], None
-        while level and found is None and (best is None or True):
+        parent, level, found, length = {start: None}, [start], None, 0
+        # no further than the best cycle so far
+        while level and found is None and (best is None or length < len(best)):
+            length += 1
             nxt = []
             for node in sorted(level):
                 for n in sorted(x for x in adj.get(node, ()) if x in inside):

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.paths import under
-from strataline.operators.code_graph import first_targets
-from strataline.operators.graph import reach, shortest_cycles
+from strataline.operators.graph import nearest, shortest_cycles
 from strataline.session import materialize
 
 FINDING = "rule_id string, severity string, engine string, repo string, file string, line int, message string, detail string"
@@ -47,9 +46,10 @@ def _finding(df: DataFrame, law: dict, engine: str, line: Column, detail: Column
 def dependency_findings(edges: DataFrame, files: DataFrame, law: dict, paths: list[str] | None = None) -> DataFrame:
     """A forbidden rule finds edges from ``from`` to ``to`` but not ``toNot``; a required one finds files without such an edge.
 
-    edges: repo, src_id, src, dst, line, kept to the rule's kinds beforehand.
+    edges: repo, src_id, src, dst, line, kept to the rule's kinds beforehand or with a column ``kind``.
     """
     rule = law["verification"]["rule"]
+    edges = edges.filter(F.col("kind").isin(rule["edgeKinds"])) if rule.get("edgeKinds") and "kind" in edges.columns else edges
     mine = edges.filter(under(F.col("src"), paths) & F.col("src").rlike(rule["from"]))
     hits = mine.filter(_reaches(rule, F.col("src"), F.col("dst")))
     if rule.get("type", "forbidden") == "forbidden":
@@ -60,10 +60,17 @@ def dependency_findings(edges: DataFrame, files: DataFrame, law: dict, paths: li
     return _finding(lacking, law, "deps", F.lit(None), F.lit(f"required dependency to {rule['to']} is missing"))
 
 
-def unresolved_in_scope(unresolved: DataFrame, law: dict, paths: list[str] | None = None) -> int:
-    """Edges without a target whose source the rule covers."""
-    rule = law["verification"]["rule"]
-    return unresolved.filter(under(F.col("src"), paths) & F.col("src").rlike(rule["from"])).agg(F.sum("n")).first()[0] or 0
+def unresolved_in_scopes(unresolved: DataFrame, laws: list[dict], paths: list[str] | None = None) -> list[int]:
+    """For each rule the edges without a target whose source and kind it covers, in one scan. unresolved: src, kind, n."""
+    if not laws:
+        return []
+    sums = []
+    for law in laws:
+        rule = law["verification"]["rule"]
+        covered = F.col("src").rlike(rule["from"])
+        covered = covered & F.col("kind").isin(rule["edgeKinds"]) if rule.get("edgeKinds") else covered
+        sums.append(F.sum(F.when(covered, F.col("n"))))
+    return [n or 0 for n in unresolved.filter(under(F.col("src"), paths)).agg(*(c.alias(f"n{i}") for i, c in enumerate(sums))).first()]
 
 
 def cycle_findings(edges: DataFrame, files: DataFrame, law: dict, paths: list[str] | None = None) -> DataFrame:
@@ -84,9 +91,8 @@ def reach_findings(edges: DataFrame, files: DataFrame, law: dict, paths: list[st
     inside = materialize(inside.select("repo", F.col("src_id").alias("src"), F.col("dst_id").alias("dst")), "inside")
     # only files with an edge are in the graph
     start = files.filter(F.col("path").rlike(rule["from"])).join(inside.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
-    seeds = start.select("repo", F.col("id").alias("origin"), F.col("id").alias("node"))
     goal = files.filter(F.col("path").rlike(rule["to"])).select("repo", F.col("id").alias("node"))
-    found = first_targets(reach(inside, seeds, ["repo"], None, ["origin"]), goal, ["repo"])
+    found = nearest(inside, start.select("repo", F.col("id").alias("node")), goal, ["repo"])
     named = found.join(files.select(F.col("id").alias("origin"), F.col("path").alias("src")), "origin").join(files.select(F.col("id").alias("hit"), F.col("path").alias("dst")), "hit")
     return _finding(named, law, "graph", F.lit(None), F.concat(F.lit("transitively reaches "), F.col("dst")))
 

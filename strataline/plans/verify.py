@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,13 +12,16 @@ from pyspark.sql import functions as F
 
 from strataline.functions.paths import relative_uri
 from strataline.operators import code_graph as G
-from strataline.operators.rules import FINDING, dependency_findings, fingerprint, graph_findings, severity_rank, unresolved_in_scope
+from strataline.operators.rules import FINDING, dependency_findings, fingerprint, graph_findings, severity_rank, unresolved_in_scopes
 from strataline.session import materialize
 from strataline.sources.rules import BATCH_KINDS
 
 #: Results that a SARIF run may hold; what is beyond is counted in a notice.
 SARIF_CAP = 5_000
 RANKS = {"error": 3, "warn": 2, "info": 1}
+STATUS = "rule_id string, status string, detail string"
+#: Runs of rules that are under way together.
+AT_ONCE = 4
 
 
 @dataclass
@@ -43,37 +47,55 @@ def verify(spark: SparkSession, rules: list[dict], files: DataFrame | None, node
     no target, else it has passed.
     """
     chosen = select_rules(rules, ids, engines)
-    statuses: list[tuple[str, str, str | None]] = []
-    found: list[DataFrame] = []
     if files is None or nodes is None or edges is None:
-        statuses = [(r["id"], "skipped", "no-index") for r in chosen]
-        chosen = []
-    graphs: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-    if chosen:
-        resolved = materialize(G.resolve_calls(edges, nodes, files), "resolved")
-    for law in chosen:
-        rule, kind = law["verification"]["rule"], law["verification"]["kind"]
-        kinds = tuple(sorted(rule.get("edgeKinds") or [])) if kind == "deps" else ()
+        return Report(spark.createDataFrame([], FINDING), spark.createDataFrame([(r["id"], "skipped", "no-index") for r in chosen], STATUS))
+    if not chosen:
+        return Report(spark.createDataFrame([], FINDING), spark.createDataFrame([], STATUS))
+    resolved = materialize(G.resolve_calls(edges, nodes, files), "resolved")
+    files = materialize(files.select("id", "path", "repo"), "files")
+    pairs = materialize(G.file_graph(resolved, nodes, files, by=("kind",)), "file-edges")
+    open_ = materialize(G.unresolved_by_file(resolved, files, by=("kind",)), "unresolved")
+    deps = [r for r in chosen if r["verification"]["kind"] == "deps"]
+    graph = [r for r in chosen if r["verification"]["kind"] != "deps"]
+    errors: dict[str, str] = {}
+
+    def run(laws: list[dict]) -> list[tuple[DataFrame, list[int]]]:
+        """Findings of some rules, and what they leave unresolved: all dependency rules read the edges once."""
+        if len(laws) > 1 and laws == deps:
+            parts = [dependency_findings(pairs, files, r, paths) for r in laws]
+            return [(materialize(reduce(DataFrame.unionByName, parts), "findings"), unresolved_in_scopes(open_, laws, paths))]
+        law = laws[0]
+        if law["verification"]["kind"] == "deps":
+            return [(materialize(dependency_findings(pairs, files, law, paths), "findings"), unresolved_in_scopes(open_, [law], paths))]
+        return [(materialize(graph_findings(pairs, files, law, paths), "findings"), [0])]
+
+    def tried(laws: list[dict]) -> list[tuple[DataFrame, list[int]]]:
         try:
-            if kinds not in graphs:
-                graphs[kinds] = materialize(G.file_graph(resolved, nodes, files, list(kinds)), "file-edges"), materialize(G.unresolved_by_file(resolved, files, list(kinds)), "unresolved")
-            pairs, open_ = graphs[kinds]
-            run = dependency_findings if kind == "deps" else graph_findings
-            result = materialize(run(pairs, files, law, paths), "findings")
-            failed = not result.isEmpty()
-            n = unresolved_in_scope(open_, law, paths) if kind == "deps" and not failed else 0
+            return run(laws)
         except Exception as e:  # one rule's fault must not hide the others' results
-            statuses.append((law["id"], "skipped", f"engine-error: {str(e).splitlines()[0][:200]}"))
-            continue
-        found.append(result)
-        if failed:
-            statuses.append((law["id"], "failed", None))
-        elif n:
-            statuses.append((law["id"], "unknown", f"evaluated with {n} unresolved reference(s)"))
+            if len(laws) > 1:
+                return [part for r in laws for part in tried([r])]
+            errors[laws[0]["id"]] = f"engine-error: {str(e).splitlines()[0][:200]}"
+            return []
+
+    # independent runs share the cluster
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
+        done = [part for parts in pool.map(tried, [*([deps] if deps else []), *([r] for r in graph)]) for part in parts]
+    findings = reduce(DataFrame.unionByName, [d for d, _ in done]) if done else spark.createDataFrame([], FINDING)
+    failed = {r["rule_id"] for r in findings.select("rule_id").distinct().collect()}  # at most a row for each rule
+    n_open = dict(zip([r["id"] for r in deps if r["id"] not in errors], [n for _, ns in done for n in ns]))
+    statuses = []
+    for r in chosen:
+        rid = r["id"]
+        if rid in errors:
+            statuses.append((rid, "skipped", errors[rid]))
+        elif rid in failed:
+            statuses.append((rid, "failed", None))
+        elif n_open.get(rid):
+            statuses.append((rid, "unknown", f"evaluated with {n_open[rid]} unresolved reference(s)"))
         else:
-            statuses.append((law["id"], "passed", None))
-    findings = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FINDING)
-    return Report(findings, spark.createDataFrame(statuses, "rule_id string, status string, detail string"))
+            statuses.append((rid, "passed", None))
+    return Report(findings, spark.createDataFrame(statuses, STATUS))
 
 
 def parse_fail_on(raw: str | bool | None) -> str | None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from strataline import model
 from strataline.model import sql
 from strataline.operators import code_graph as G
-from strataline.operators.graph import reach, shortest_cycles, strong_components
+from strataline.operators.graph import nearest, shortest_cycles, strong_components
 
 NAME, START, FOCUS = "emitSignal", "clonePath", "QueueCell"
 
@@ -76,10 +76,10 @@ def g9_reachable(spark, sf_dir):
     """From every file under src/api/ to the nearest file under lib/, over file edges."""
     g = _files_graph(spark, sf_dir).filter("src_id <> dst_id")
     files = model.files(spark, sf_dir)
-    seeds = files.filter(F.col("path").rlike("^src/api/")).select("repo", F.col("id").alias("origin"), F.col("id").alias("node"))
+    seeds = files.filter(F.col("path").rlike("^src/api/")).select("repo", F.col("id").alias("node"))
     hits = files.filter(F.col("path").rlike("^lib/")).select("repo", F.col("id").alias("node"))
     edges = g.select("repo", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
-    return G.first_targets(reach(edges, seeds, ["repo"], None, ["origin"]), hits, ["repo"])
+    return nearest(edges, seeds, hits, ["repo"])
 
 
 QUERIES = {
