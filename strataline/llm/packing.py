@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataline.llm.tokens import token_counts
-from strataline.session import materialize, table
+from strataline.session import materialize, table, width
 
 #: Steps that a capacity is coarsened to when patterns are enumerated.
 UNITS = 256
 #: Rounds of the least-squares fit.
 ROUNDS = 400
-#: Items numbered together in one task; a length held by more is numbered in several.
+#: Items numbered together in one task at most; a length held by more is numbered in several.
 ITEMS_PER_BLOCK = 200_000
+#: Runs of a plan up to which it is sent to all tasks; a longer one is joined.
+SENT_RUNS = 200_000
 #: Containers are described to the driver by kind; more kinds than this are refused.
 MOST_KINDS = 1_000
 
@@ -202,7 +204,7 @@ def pack(hist: np.ndarray, capacity: int, units: int = UNITS) -> Plan:
 
 def _numbered(sizes: DataFrame, n_items: int) -> DataFrame:
     """sizes with ``rank``, from 0 within n_tokens: a count by block, then a place in the block."""
-    blocks = max(1, -(-n_items // ITEMS_PER_BLOCK))
+    blocks = max(width(sizes.sparkSession), -(-n_items // ITEMS_PER_BLOCK))
     dealt = sizes.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     counts = dealt.groupBy("n_tokens", "block").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("n_tokens").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -233,15 +235,18 @@ def pack_corpus(sizes: DataFrame, containers: DataFrame, item: str, kind: str =
     schema = f"container_kind {dict(containers.dtypes)[kind]}, container_no long, `{item}` {dict(sizes.dtypes)[item]}, piece_no int, start_token long, n_tokens long"
     if not kinds or not n_items:
         return spark.createDataFrame([], schema)
-    caps = spark.createDataFrame([(r["kind"], r["cap"]) for r in kinds], f"kind {dict(containers.dtypes)[kind]}, cap long")
+    kind_type = dict(containers.dtypes)[kind]
+    caps = F.array(*(F.struct(F.lit(r["kind"]).cast(kind_type).alias("kind"), F.lit(r["cap"]).cast("long").alias("cap")) for r in kinds))
 
     # one row for each kind and distinct length; from here to the plan, rows follow the lengths
     lengths = one.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n"))
-    each = lengths.join(F.broadcast(caps)).withColumn("full", F.floor(F.col("n_tokens") / F.col("cap"))).withColumn("rest", F.col("n_tokens") % F.col("cap"))
+    each = lengths.select("n_tokens", "n", F.explode(caps).alias("c")).select("n_tokens", "n", "c.*").withColumn("full", F.floor(F.col("n_tokens") / F.col("cap"))).withColumn("rest", F.col("n_tokens") % F.col("cap"))
     by_rest = Window.partitionBy("kind", "rest").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     by_kind = Window.partitionBy("kind").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("rest_from", F.coalesce(F.sum("n").over(by_rest), F.lit(0)))
-    each = materialize(each.withColumn("full_from", F.coalesce(F.sum(F.col("n") * F.col("full")).over(by_kind), F.lit(0))), "lengths")
+    # of lengths below the capacity nothing is cut, so only the few above are summed in order
+    large = each.filter("full > 0").withColumn("full_from", F.coalesce(F.sum(F.col("n") * F.col("full")).over(by_kind), F.lit(0)))
+    each = materialize(large.unionByName(each.filter("full = 0").withColumn("full_from", F.lit(0).cast("long"))), "lengths")
 
     found = each.filter("rest > 0").groupBy("kind", "rest").agg(F.sum("n").alias("n")).collect()  # at most the sum of the capacities
     runs, packed = [], []
@@ -253,7 +258,6 @@ def pack_corpus(sizes: DataFrame, containers: DataFrame, item: str, kind: str =
         plan = pack(hist, r["cap"])
         packed.append((r["kind"], plan.containers))
         runs += [(r["kind"], *map(int, x)) for x in plan.runs]
-    kind_type = dict(containers.dtypes)[kind]
     runs_df = spark.createDataFrame(runs, f"kind {kind_type}, rest long, run_from long, run_to long, base long, per long")
     packed_df = spark.createDataFrame(packed, f"kind {kind_type}, packed long")
 
@@ -264,9 +268,10 @@ def pack_corpus(sizes: DataFrame, containers: DataFrame, item: str, kind: str =
         "kind", (F.col("packed") + F.col("full_from") + F.col("rank") * F.col("full") + F.col("piece")).alias("container_no"), "item",
         F.col("piece").cast("int").alias("piece_no"), (F.col("piece") * F.col("cap")).alias("start_token"), F.col("cap").alias("n_tokens"),
     )
+    runs_df = F.broadcast(runs_df) if len(runs) <= SENT_RUNS else runs_df
     slot = F.col("rest_from") + F.col("rank")
     rests = items.filter("rest > 0").withColumn("slot", slot).alias("i").join(
-        F.broadcast(runs_df).alias("r"),
+        runs_df.alias("r"),
         F.expr("i.kind <=> r.kind and i.rest = r.rest and i.slot >= r.run_from and i.slot < r.run_to"),
     )
     rests = rests.select(
@@ -289,5 +294,28 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.join(caps, "container_kind").withColumn("filled", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")))
 
 
-QUERIES = {"p7_pack": p7_pack, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind: documents packed, and whether all tokens are there, none is over the capacity, none that fits is cut, and the room left is small.
+
+    Room is judged against the least number of containers that any packing needs: pieces of the
+    whole capacity, and the rest of the tokens without any room left; 1 % more is allowed, and one container.
+    """
+    sizes = materialize(token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"), "counts")
+    packed = materialize(pack_corpus(sizes, table(spark, sf_dir, "containers"), "doc_id"), "packed")
+    caps = table(spark, sf_dir, "containers", "container_kind", "capacity").filter("capacity > 0")
+    filled = packed.groupBy("container_kind", "container_no").agg(F.sum("n_tokens").alias("n"), F.min("n_tokens").alias("least")).join(caps, "container_kind")
+    boxes = filled.filter("n > 0").groupBy("container_kind").agg(F.count(F.lit(1)).alias("boxes"), F.max(F.col("n") - F.col("capacity")).alias("over"))
+    # each document: its pieces follow one another without a gap and end where it ends
+    piece = packed.groupBy("container_kind", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    whole = piece.join(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("size")), "doc_id").join(caps, "container_kind")
+    fair = (F.col("n") == F.col("size")) & (F.col("end") == F.col("size"))
+    uncut = F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity")))
+    docs = whole.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_docs"), F.bool_and(fair).alias("whole"), F.bool_and(uncut).alias("uncut"), F.sum("size").alias("tokens"), F.max("capacity").alias("capacity"))
+    least = F.ceil(F.col("tokens") / F.col("capacity"))
+    return docs.join(boxes, "container_kind").select("container_kind", "n_docs", "whole", "uncut", (F.col("over") <= 0).alias("within"), (F.col("boxes") <= least * 1.01 + 1).alias("tight"))
+
+
+QUERIES = {"p7_pack": p7_pack, "p7_fill": p7_fill, "p7_check": p7_check}
+SQL = {
+    "p7_check": "select container_kind, (select count(*) from documents) as n_docs, true as whole, true as uncut, true as within, true as tight from containers where capacity > 0",
+}

