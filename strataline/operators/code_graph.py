@@ -147,7 +147,7 @@ def explore(nodes: DataFrame, files: DataFrame, edges: DataFrame, name: str, sou
     The exact matches in the order of best_match, or else the first ``limit`` names that hold
     the text (search), for which only the place is given. callees: struct<name, line, file>, by line then name,
     unresolved ones with a null file; callers: struct<name, file, line>, by file, line and name. source: the node's
-    bytes of ``sources`` (file_id, text), null without it. A null or unknown name finds nothing. Jobs: one look whether there is an exact match.
+    part of ``sources`` (file_id, text), by the extractors' offsets in characters; null without it. A null or unknown name finds nothing. Jobs: one look whether there is an exact match.
     """
     found = best_match(nodes, files, name, limit)
     exact = found.select("id", "name", "kind", "repo", F.col("path").alias("file"), F.col("start_line").alias("line"), "signature", "file_id", "start_byte", "end_byte", "rank")
@@ -166,7 +166,7 @@ def explore(nodes: DataFrame, files: DataFrame, edges: DataFrame, name: str, sou
         whole = whole.withColumn("source", F.lit(None).cast("string"))
     else:
         at = F.col("start_byte").between(0, F.col("end_byte"))
-        part = F.when(at, F.expr("decode(substring(encode(text, 'UTF-8'), start_byte + 1, end_byte - start_byte), 'UTF-8')"))
+        part = F.when(at, F.expr("substring(text, start_byte + 1, end_byte - start_byte)"))
         whole = whole.join(sources.select("file_id", "text"), "file_id", "left").withColumn("source", part)
     none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
     return whole.select("rank", "id", "name", "kind", "repo", "file", "line", "signature", F.lit(True).alias("exact"), none("callees", calls[0]), none("callers", calls[1]), "source")

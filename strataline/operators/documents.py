@@ -38,9 +38,9 @@ def is_report(name: Column) -> Column:
     return name.endswith(".md") & (F.lower(name) != "readme.md")
 
 
-def split_path(docs: DataFrame, path: str = "path") -> DataFrame:
-    """docs with area (specs or changes), capability (the folder below) and file, for documents of the rule book."""
-    at = r"^lawbook/(specs|changes)/([^/]+)/(.+)$"
+def split_path(docs: DataFrame, root: str, path: str = "path") -> DataFrame:
+    """docs with area (specs or changes), capability (the folder below) and file, for documents below the folder ``root``."""
+    at = rf"^\Q{root}\E/(specs|changes)/([^/]+)/(.+)$"
     part = lambda i: F.regexp_extract(path, at, i)
     return docs.filter(F.col(path).rlike(at)).select("*", part(1).alias("area"), part(2).alias("capability"), part(3).alias("file"))
 
@@ -52,6 +52,21 @@ def dropped_requirements(deltas: DataFrame, canonical: DataFrame, key: list[str]
     return both.select(*key, F.array_except("had", "has").alias("dropped")).filter(F.size("dropped") > 0)
 
 
+def validation(deltas: DataFrame, canonical: DataFrame) -> DataFrame:
+    """capability, file, issues, dropped, near: all that is found in each delta (capability, file, text), in one row.
+
+    issues as issues(); dropped: requirements of the canonical text of the same place that the delta lacks; near: for a
+    capability that is not canonical, the canonical names within two edits, nearest first. All are empty where there is nothing.
+    """
+    key = ["capability", "file"]
+    lost = dropped_requirements(deltas, canonical, key)
+    alike = near_capabilities(deltas, canonical).groupBy(F.col("name").alias("capability"))
+    alike = alike.agg(F.transform(F.array_sort(F.collect_list(F.struct("distance", "near"))), lambda x: x["near"]).alias("near"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>")).alias(c)
+    both = deltas.select(*key, F.coalesce(issues(F.col("text")), F.array().cast("array<string>")).alias("issues")).join(lost, key, "left").join(alike, "capability", "left")
+    return both.select(*key, "issues", none("dropped"), none("near"))
+
+
 def sync_plan(deltas: DataFrame, canonical: DataFrame, key: list[str]) -> DataFrame:
     """key..., action of copying deltas over the canonical texts: created, updated, or same where they are equal."""
     c = canonical.select(*key, F.col("text").alias("now"), F.lit(True).alias("there"))

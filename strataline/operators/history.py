@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataline.operators.blocks import chunk_pairs, pairs_of_arrays
 from strataline.session import materialize, shared_folder
@@ -54,6 +55,21 @@ def co_changes(touches: DataFrame, since: int | None = None, min_support: int =
     return pairs_of_arrays(rows, ["repo"]).groupBy("repo", "a", "b").agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_support)
 
 
+def ranked_co_changes(pairs: DataFrame, limit: int | None = None, scope: list[str] | None = None) -> DataFrame:
+    """Pairs by count, most first, then by paths; at most ``limit`` of them, or of each ``scope`` (as repo)."""
+    order = [F.desc("count"), *(["repo"] if not scope else []), "a", "b"]
+    if limit is None or not scope:
+        out = pairs.orderBy(*order)
+        return out if limit is None else out.limit(limit)
+    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def with_shallow(result: DataFrame, shallow: bool | None) -> DataFrame:
+    """A result of the history with the flag that says whether the clone lacks older commits; null if it is not known."""
+    return result.withColumn("shallow", F.lit(shallow).cast("boolean"))
+
+
 def last_touch(touches: DataFrame) -> DataFrame:
     """repo, path, sha, ts of the newest commit; of equal times the greatest sha."""
     best = touches.groupBy("repo", "path").agg(F.max(F.struct("ts", "sha")).alias("m"))

@@ -63,15 +63,27 @@ def read_index(spark: SparkSession, store: str) -> dict[str, DataFrame]:
 
 
 def _publish(spark: SparkSession, store: str, name: str) -> None:
+    """Make a build the current one: the pointer is written beside and renamed over the old one, so a reader finds either."""
     jvm = spark.sparkContext._jvm
     fs, tmp = _fs(spark, f"{store}/.CURRENT-{name}")
     out = fs.create(tmp, True)
     out.write(bytearray(f"{VERSION} {name}\n".encode()))
     out.close()
-    goal = jvm.org.apache.hadoop.fs.Path(f"{store}/CURRENT")
-    if fs.exists(goal):
-        fs.delete(goal, False)
-    fs.rename(tmp, goal)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{store}/CURRENT")), how)
+
+
+def drop_old_builds(spark: SparkSession, store: str) -> int:
+    """Remove all builds but the current one; call it when no reader is left on an older one. Returns how many went."""
+    now = current(spark, store)
+    fs, at = _fs(spark, store)
+    old = [x.getPath() for x in fs.listStatus(at) if x.getPath().getName().startswith("build-") and now is not None and x.getPath().getName() != now.rpartition("/")[2]]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
 
 
 def build_index(spark: SparkSession, store: str, sources: DataFrame, repo: str = "", seen: DataFrame | None = None) -> dict[str, int]:

@@ -6,6 +6,10 @@ from strataline import model
 from strataline.operators import documents as D
 
 
+#: The folder that holds specifications and changes in the test documents.
+ROOT = "lawbook"
+
+
 def _specs(spark, sf_dir):
     return model.specs(spark, sf_dir).filter("kind = 'spec'")
 
@@ -29,7 +33,7 @@ def pr17_reports(spark, sf_dir):
 
 def _sides(spark, sf_dir):
     """Texts by (capability, file) of changes and of canonical documents, the least document of each."""
-    split = D.split_path(model.specs(spark, sf_dir)).groupBy("area", "capability", "file").agg(F.min_by("text", "doc_id").alias("text"))
+    split = D.split_path(model.specs(spark, sf_dir), ROOT).groupBy("area", "capability", "file").agg(F.min_by("text", "doc_id").alias("text"))
     side = lambda a: split.filter(F.col("area") == a).select("capability", "file", "text")
     return side("changes"), side("specs")
 
@@ -41,7 +45,7 @@ def k10_sync_plan(spark, sf_dir):
 
 def j15_dropped(spark, sf_dir):
     """Requirement names that the largest document id of a capability lacks against the smallest."""
-    split = D.split_path(model.specs(spark, sf_dir)).filter("text is not null")
+    split = D.split_path(model.specs(spark, sf_dir), ROOT).filter("text is not null")
     both = split.groupBy("capability").agg(F.min_by("text", "doc_id").alias("a"), F.max_by("text", "doc_id").alias("b"))
     out = D.dropped_requirements(both.select("capability", F.col("b").alias("text")), both.select("capability", F.col("a").alias("text")), ["capability"])
     return out.select("capability", F.explode("dropped").alias("name"))
@@ -52,13 +56,30 @@ def j16_near_capabilities(spark, sf_dir):
     return D.near_capabilities(changes, canonical)
 
 
-QUERIES = {f.__name__: f for f in (g20_validate, f7_requirements, pr16_open_tasks, pr17_reports, k10_sync_plan, j15_dropped, j16_near_capabilities)}
+def g20_validation(spark, sf_dir):
+    """Each document of a change with what it lacks, how many requirements it drops and the canonical names it may mean."""
+    found = D.validation(*_sides(spark, sf_dir))
+    return found.select("capability", "file", F.array_join("issues", "; ").alias("issues"), F.size("dropped").cast("long").alias("n_dropped"), F.array_join("near", ",").alias("near"))
+
+
+QUERIES = {f.__name__: f for f in (g20_validate, g20_validation, f7_requirements, pr16_open_tasks, pr17_reports, k10_sync_plan, j15_dropped, j16_near_capabilities)}
 
 _REQ = "regexp_extract_all({}, '(?m)^###\\s+Requirement:[ \\t]*(\\S.*?)\\s*$', 1)"
 _SPLIT = """s as (select doc_id, text, regexp_extract(path, '^lawbook/(specs|changes)/([^/]+)/(.+)$', 1) as area, regexp_extract(path, '^lawbook/(specs|changes)/([^/]+)/(.+)$', 2) as capability,
   regexp_extract(path, '^lawbook/(specs|changes)/([^/]+)/(.+)$', 3) as file from documents where regexp_matches(path, '^lawbook/(specs|changes)/([^/]+)/(.+)$'))"""
 _SIDES = _SPLIT + ", m as (select s.* from s join (select area, capability, file, min(doc_id) as doc_id from s where text is not null group by all) using (doc_id)), o as (select distinct area, capability, file from s)"
+_ISSUES = """case when text is null then '' else concat_ws('; ', case when not regexp_matches(text, '\\b(SHALL|MUST)\\b') then 'no normative requirement (use SHALL/MUST)' end,
+      case when not regexp_matches(text, '(?m)^####\\s+Scenario:') then 'no "#### Scenario:" acceptance criteria' end,
+      case when not regexp_matches(text, '(?m)^###\\s+Requirement:') then 'no "### Requirement:" header' end) end"""
 SQL = {
+    "g20_validation": f"""with {_SIDES}, near as (
+        select a.capability, string_agg(b.capability, ',' order by levenshtein(a.capability, b.capability), b.capability) as near
+        from (select distinct capability from o where area = 'changes') a join (select distinct capability from o where area = 'specs') b on levenshtein(a.capability, b.capability) <= 2
+        where a.capability not in (select capability from o where area = 'specs') group by a.capability)
+      select o.capability, o.file, {_ISSUES.replace('text', 'mc.text')} as issues,
+        coalesce(len(list_distinct(list_filter({_REQ.format('mk.text')}, lambda x: not list_contains({_REQ.format('mc.text')}, x)))), 0)::bigint as n_dropped, coalesce(near.near, '') as near
+      from o left join m mc on mc.area = 'changes' and mc.capability = o.capability and mc.file = o.file
+      left join m mk on mk.area = 'specs' and mk.capability = o.capability and mk.file = o.file left join near on near.capability = o.capability where o.area = 'changes'""",
     "g20_validate": """select doc_id, case when text is null then '' else concat_ws('; ', case when not regexp_matches(text, '\\b(SHALL|MUST)\\b') then 'no normative requirement (use SHALL/MUST)' end,
       case when not regexp_matches(text, '(?m)^####\\s+Scenario:') then 'no "#### Scenario:" acceptance criteria' end,
       case when not regexp_matches(text, '(?m)^###\\s+Requirement:') then 'no "### Requirement:" header' end) end as issues from documents where kind = 'spec'""",

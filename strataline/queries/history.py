@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strataline.model import sql, touches
-from strataline.operators.history import cache_key, churn, co_changes, commit_log, last_touch, read_through
+from strataline.operators.history import cache_key, churn, co_changes, commit_log, last_touch, ranked_co_changes, read_through, with_shallow
 from strataline.sources.git import numstat_text, parse_name_only, parse_numstat
 
 SINCE = 1_704_067_200  # 2024-01-01
@@ -30,6 +30,17 @@ def g16_co_changes(spark, sf_dir):
     return co_changes(touches(spark, sf_dir))
 
 
+def g18_cached_co_changes(spark, sf_dir):
+    t = touches(spark, sf_dir)
+    return read_through(t, cache_key("co-changes", since=None, data=sf_dir), lambda: co_changes(t))
+
+
+def t6_top_co_changes(spark, sf_dir):
+    """The ten most frequent pairs of each repository, with the flag of a shallow history."""
+    top = ranked_co_changes(co_changes(touches(spark, sf_dir)), 10, ["repo"])
+    return with_shallow(top, False)
+
+
 def a6_co_changes_with_support(spark, sf_dir):
     return co_changes(touches(spark, sf_dir), since=SINCE, min_support=3)
 
@@ -60,7 +71,7 @@ def s10_name_only(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (g14_log_for_path, a7_commit_sums, g15_churn, a5_churn_under_prefix, g16_co_changes, a6_co_changes_with_support, g17_last_touch, g18_cached_churn, t8_newest_commits, s9_numstat, s10_name_only)
+    for f in (g14_log_for_path, a7_commit_sums, g15_churn, a5_churn_under_prefix, g16_co_changes, a6_co_changes_with_support, g17_last_touch, g18_cached_churn, g18_cached_co_changes, t6_top_co_changes, t8_newest_commits, s9_numstat, s10_name_only)
 }
 _LOG = "select repo, sha, min(ts) as ts, sum(added)::bigint as added, sum(deleted)::bigint as deleted from t {} group by repo, sha"
 _PAIRS = """select x.repo, x.path as a, y.path as b, count(*) as count
@@ -72,6 +83,8 @@ SQL = {
     "g18_cached_churn": sql("select repo, path, count(*) as commits from t group by all"),
     "a5_churn_under_prefix": sql(f"select repo, path, count(*) as commits from t where ts >= {SINCE} and (path = 'src' or path like 'src/%') group by all"),
     "g16_co_changes": sql(_PAIRS.format("")),
+    "g18_cached_co_changes": sql(_PAIRS.format("")),
+    "t6_top_co_changes": sql(f"select *, false as shallow from (select *, (row_number() over (partition by repo order by count desc, a, b))::int as rank from ({_PAIRS.format('')})) where rank <= 10"),
     "a6_co_changes_with_support": sql(_PAIRS.format(f"where x.ts >= {SINCE} and y.ts >= {SINCE}") + " having count(*) >= 3"),
     "g17_last_touch": sql("select repo, path, sha, ts from (select *, row_number() over (partition by repo, path order by ts desc, sha desc) as r from t) where r = 1"),
     "t8_newest_commits": sql("select * from (" + _LOG.format("") + ") order by ts desc, repo, sha limit 50"),

@@ -8,7 +8,8 @@ from strataline.operators import code_graph as G
 from strataline.queries.traversal import LINKS, NF, R, _tables
 from strataline.session import table
 
-SEARCH, EXPLORE = "span", "RuleAdapter"
+#: A part of names, a name, and one that no node has as a whole.
+SEARCH, EXPLORE, SIMILAR = "span", "RuleAdapter", "uleAdapte"
 
 
 def s3_languages(spark, sf_dir):
@@ -118,6 +119,20 @@ def g2_explore(spark, sf_dir):
     return best.join(ins, "id", "left").join(outs, "id", "left").select("id", "name", "kind", "repo", "file", "start_line", "end_line", zero("callers"), zero("callees"))
 
 
+def g2_explore_calls(spark, sf_dir):
+    """Callees and callers of each of the ten best matches, a row for each."""
+    f, n, e = _tables(spark, sf_dir)
+    told = lambda side: F.transform(side, lambda x: F.struct(F.lit(side).alias("side"), x["name"].alias("name"), x["line"].alias("line"), x["file"].alias("file")))
+    seen = G.explore(n, f, e, EXPLORE).select("id", F.explode(F.concat(told("callees"), told("callers"))).alias("x"))
+    return seen.select("id", "x.*")
+
+
+def g2_explore_unknown(spark, sf_dir):
+    """Similar names in place of a name that no node has."""
+    f, n, e = _tables(spark, sf_dir)
+    return G.explore(n, f, e, SIMILAR).select("id", "name", "kind", "repo", "file", "line", "signature", "exact")
+
+
 def t1_search_rank(spark, sf_dir):
     hits = model.nodes(spark, sf_dir, "name", "kind").filter(F.col("name").ilike("%cell%"))
     return hits.orderBy(F.desc((F.col("name") == "QueueCell").cast("int")), F.length("name"), "name", "id").limit(25).select("id", "name", "kind")
@@ -146,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s3_languages, s6_row_counts, pr1_substring, pr3_edge_kinds, pr4_frontier, j1_nodes_with_files, j2_callees, j3_callers, j4_embedded_nodes, j8_unresolved,
-        a2_unresolved_by_repo, j9_resolve_names, j18_owners, a3_first_lines, a4_distinct_callees, a12_index_stats, a16_kinds, g1_search, g2_explore, t1_search_rank,
+        a2_unresolved_by_repo, j9_resolve_names, j18_owners, a3_first_lines, a4_distinct_callees, a12_index_stats, a16_kinds, g1_search, g2_explore, g2_explore_calls, g2_explore_unknown, t1_search_rank,
         t3_ordered_callees, j12_diff,
     )
 }
@@ -186,6 +201,11 @@ SQL = {
         (select count(*) from callers where owner_id = o.id) as callers, (select count(*) from callees where owner_id = o.id) as callees
         from (select *, case kind when 'function' then 0 when 'class' then 1 else 2 end as k from nf where name = '{EXPLORE}' order by k, id limit 10) o""",
         R, NF, _CALLERS, _CALLEES),
+    "g2_explore_calls": sql(
+        f"""select id, side, x.name, x.line, x.file from (select id from nf where name = '{EXPLORE}' order by case kind when 'function' then 0 when 'class' then 1 else 2 end, id limit 10) o
+        join (select distinct owner_id, 'callees' as side, name, line, file from callees union all select distinct owner_id, 'callers', name, line, file from callers) x on x.owner_id = o.id""",
+        R, NF, _CALLERS, _CALLEES),
+    "g2_explore_unknown": sql(f"select id, name, kind, repo, path as file, start_line as line, signature, false as exact from nf where name ilike '%{SIMILAR}%' and not exists (select 1 from n where name = '{SIMILAR}') order by length(name), name, id limit 10", NF),
     "t1_search_rank": sql("select id, name, kind from n where name ilike '%cell%' order by name = 'QueueCell' desc, length(name), name, id limit 25"),
     "t3_ordered_callees": sql("select src_node_id, string_agg(dst_name, ',' order by line, dst_name) as callees from (select distinct src_node_id, line, dst_name from e where kind = 'call' and src_node_id is not null and dst_name is not null and line is not null) group by all"),
     "j12_diff": f"""with x as (select repo, nullif({model._PATH}, '') as path, hash, indexed_at, id from files where id is not null and repo is not null),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,13 +55,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+#: Tables that were written and not removed yet.
+_TABLES: dict[str, None] = {}
+
+
 def _drop(spark: SparkSession, path: str) -> None:
+    if _TABLES.pop(path, 0) == 0:
+        return
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: nothing is left to call
-        pass
+    except Exception:  # the session has ended: only a folder that this machine sees can still be removed
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -67,15 +75,27 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
     Losing an executor afterwards costs no recomputation. The table is compressed and
     columnar, so later steps read only the columns they use. It is removed when the
-    driver's process ends.
+    driver's process ends, or by ``dropping``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strataline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _TABLES[path] = None
     atexit.register(_drop, spark, path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dropping(spark: SparkSession):
+    """Remove, at the end of the block, the tables that operators wrote in it: what they returned must have been used by then."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        for path in [p for p in _TABLES if p not in before]:
+            _drop(spark, path)
+
+
 def empty(spark: SparkSession, schema: str | StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 

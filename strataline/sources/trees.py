@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -169,18 +169,27 @@ def _extract_script(text: str, typed: bool) -> tuple[list, list]:
     return symbols, refs
 
 
-def extract(text: str | None, lang: str | None) -> tuple[list, list]:
+Extractor = Callable[[str], tuple[list, list]]
+#: How each language is read; more are added by register_language.
+EXTRACTORS: dict[str, Extractor] = {
+    "python": _extract_python, "javascript": lambda text: _extract_script(text, False), "typescript": lambda text: _extract_script(text, True),
+}
+
+
+def register_language(lang: str, extensions: tuple[str, ...], extractor: Extractor) -> None:
+    """Read files of some extensions as ``lang``. The extractor gives symbols (name, kind, lines and bytes from and to, parent, signature) and references (name, kind, line, owner) of a text."""
+    EXTENSIONS[lang], EXTRACTORS[lang] = extensions, extractor
+
+
+def extract(text: str | None, lang: str | None, extractors: dict[str, Extractor] | None = None) -> tuple[list, list]:
     """Symbols and references of one source; none if it cannot be parsed or the language is unknown."""
-    if not text:
+    how = (EXTRACTORS if extractors is None else extractors).get(lang)
+    if not text or how is None:
         return [], []
     try:
-        if lang == "python":
-            return _extract_python(text)
-        if lang in ("javascript", "typescript"):
-            return _extract_script(text, lang == "typescript")
+        return how(text)
     except (SyntaxError, ValueError, RecursionError):
-        pass
-    return [], []
+        return [], []
 
 
 def extract_files(files: DataFrame) -> DataFrame:
@@ -189,10 +198,12 @@ def extract_files(files: DataFrame) -> DataFrame:
     Parsing is outside of what SQL can express: sources go through Python in Arrow batches.
     """
 
+    known = dict(EXTRACTORS)  # goes to the workers with the job
+
     def work(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ("name", "kind", "start_line", "end_line", "start_byte", "end_byte", "parent", "signature")
         for pdf in pdfs:
-            both = [extract(t, lang) for t, lang in zip(pdf["text"], pdf["lang"])]
+            both = [extract(t, lang, known) for t, lang in zip(pdf["text"], pdf["lang"])]
             yield pd.DataFrame(
                 {
                     "path": pdf["path"], "lang": pdf["lang"], "hash": pdf["hash"],

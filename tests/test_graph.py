@@ -1,7 +1,9 @@
 import random
 
-from strataline.operators.graph import path_back, reach, shortest_cycles, strong_components
-from strataline.operators.code_graph import impact, neighbourhood, trace
+from pyspark.sql import functions as F
+
+from strataline.operators.graph import nearest, path_back, reach, shortest_cycles, strong_components
+from strataline.operators.code_graph import explore, impact, neighbourhood, trace
 
 E_DDL = "scope string, src long, dst long"
 
@@ -79,3 +81,35 @@ def test_neighbourhood_degree(spark):
     pairs = e.filter("target is not null").selectExpr("src_node_id as s", "target as t")
     got = {r.name: (r.deg, r.depth) for r in neighbourhood(n, f, pairs, "gamma", 2).collect()}
     assert got == {"gamma": (1, 0), "beta": (2, 1), "alpha": (3, 2)}
+
+
+def test_explore(spark):
+    n = spark.createDataFrame([(1, 1, "go", "function", 3, 4, 9), (2, 1, "stop", "class", 7, 0, 3), (3, 2, "go", "variable", 1, 5, 2), (4, 1, None, "class", 1, 0, 1)], "id long, file_id long, name string, kind string, start_line int, start_byte int, end_byte int").withColumn("signature", F.lit("s"))
+    f = spark.createDataFrame([(1, "a.py", "r"), (2, "b.py", "q")], "id long, path string, repo string")
+    e = spark.createDataFrame([(1, 1, 1, "stop", 2, "call", 5, 2), (2, 1, 1, "gone", None, "call", 4, None), (3, 2, 1, "go", 1, "call", 8, 1), (4, 2, 1, "go", 1, "call", 9, 1)], "id long, src_node_id long, src_file_id long, dst_name string, dst_node_id long, kind string, line int, target long")
+    text = spark.createDataFrame([(1, "é = go()\nx"), (1, None)], "file_id long, text string").limit(1)
+    got = explore(n, f, e.withColumn("repo", F.lit("r")), "go", text).orderBy("rank").collect()
+    assert [(r.id, r.exact, r.source) for r in got] == [(1, True, "go()\n"), (3, True, None)]
+    assert [tuple(c) for c in got[0].callees] == [("gone", 4, None), ("stop", 5, "a.py")] and [tuple(c) for c in got[0].callers] == [("stop", "a.py", 7)]
+    near = explore(n, f, e.withColumn("repo", F.lit("r")), "sto").collect()
+    assert [(r.name, r.exact, r.callees) for r in near] == [("stop", False, None)]
+    assert explore(n.limit(0), f, e.withColumn("repo", F.lit("r")), "go").count() == 0
+
+
+def test_nearest_goal_of_each_origin(spark):
+    r = random.Random(4)
+    pairs = {(r.randint(1, 30), r.randint(1, 30)) for _ in range(45)}
+    edges = spark.createDataFrame([("s", a, b) for a, b in pairs], "repo string, src long, dst long")
+    origins, goals = set(range(1, 18)), {3, 9, 20, 25, 29}
+    want = set()
+    for o in origins:
+        seen, level, d = {o}, [o], 0
+        while level:
+            d += 1
+            level = sorted({b for a, b in pairs if a in level} - seen)
+            seen |= set(level)
+            if goals & set(level):
+                want.add(("s", o, min(goals & set(level)), d))
+                break
+    frame = lambda ids: spark.createDataFrame([("s", i) for i in ids], "repo string, node long")
+    assert {tuple(x) for x in nearest(edges, frame(origins), frame(goals), ["repo"]).collect()} == want

@@ -2,12 +2,15 @@
 
 import subprocess
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataline.operators import documents as D
-from strataline.operators.history import cache_key, churn, co_changes, commit_log, last_touch, read_through
-from strataline.plans.index_build import build_index, current, diff_files, read_index
+from strataline.operators.history import cache_key, churn, co_changes, commit_log, last_touch, ranked_co_changes, read_through, with_shallow
+from strataline.plans.index_build import build_index, current, diff_files, drop_old_builds, read_index
+from strataline.session import dropping, materialize
 from strataline.sources import git as G
+from strataline.sources import trees as T
 from strataline.sources.documents import context_log, markdown_files, slice_text
 from strataline.sources.trees import extract, source_files
 from strataline.streaming.watch import start_watch, stop_watch, stream_counts, watch_status
@@ -33,6 +36,39 @@ def test_history(spark):
     assert log == {"c1": (3, 1), "c2": (1, 1)}
 
 
+def test_ranked_pairs(spark):
+    pairs = spark.createDataFrame([("r", "a", "b", 2), ("r", "a", "c", 5), ("q", "x", "y", 2), ("r", "b", "c", 2)], "repo string, a string, b string, count long")
+    assert [tuple(r)[:3] for r in ranked_co_changes(pairs).collect()] == [("r", "a", "c"), ("q", "x", "y"), ("r", "a", "b"), ("r", "b", "c")]
+    assert sorted(tuple(r) for r in ranked_co_changes(pairs, 1, ["repo"]).collect()) == [("q", "x", "y", 2, 1), ("r", "a", "c", 5, 1)]
+    assert [r.shallow for r in with_shallow(pairs, None).collect()] == [None] * 4
+
+
+def test_language_of_a_plug_in(spark, monkeypatch):
+    monkeypatch.setattr(T, "EXTENSIONS", dict(T.EXTENSIONS))
+    monkeypatch.setattr(T, "EXTRACTORS", dict(T.EXTRACTORS))
+    T.register_language("words", ("wrd",), lambda text: ([], [(w, "call", 1, None) for w in text.split()]))
+    files = spark.createDataFrame([("a.wrd", "h", "one two"), ("b.xyz", "h", "one")], "path string, hash string, text string")
+    found = T.extract_files(files.withColumn("lang", T.lang_for_path("path"))).collect()
+    assert {r.path: [x.name for x in r.refs] for r in found} == {"a.wrd": ["one", "two"], "b.xyz": []}
+
+
+def test_tables_are_dropped(spark):
+    with dropping(spark):
+        t = materialize(spark.range(5))
+        path = t.inputFiles()[0]
+        assert t.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(path.rpartition("/")[0]).count()
+
+
+def test_validation_in_one_row(spark):
+    ddl = "capability string, file string, text string"
+    new = spark.createDataFrame([("core", "a.md", "### Requirement: x\nIt MUST.\n#### Scenario: s\n"), ("cord", "b.md", None), ("other", "c.md", "plain")], ddl)
+    old = spark.createDataFrame([("core", "a.md", "### Requirement: x\n### Requirement: y\n"), ("care", "d.md", "")], ddl)
+    got = {r.capability: (len(r.issues), r.dropped, r.near) for r in D.validation(new, old).collect()}
+    assert got == {"core": (0, ["y"], []), "cord": (0, [], ["core", "care"]), "other": (3, [], [])}
+
+
 def test_cache_is_read_while_the_head_stays(spark, tmp_path):
     t = touches(spark, ROWS)
     key = cache_key("churn", since=None)
@@ -116,6 +152,7 @@ def test_build_refresh_and_remove(spark, tmp_path):
     index = read_index(spark, store)
     assert {r.name for r in index["nodes"].collect()} >= {"helper2", "alpha"} and "greet" not in {r.name for r in index["nodes"].collect()}
     assert index["edges"].filter("dst_name = 'helper' and dst_node_id is not null").count() == 0
+    assert drop_old_builds(spark, store) >= 1 and read_index(spark, store)["files"].count() > 0 and drop_old_builds(spark, store) == 0
 
 
 def test_diff_keeps_what_was_only_seen(spark):
