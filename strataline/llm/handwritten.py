@@ -40,9 +40,9 @@ DATA_PART, DATA_CHARS = 0.8, 400
 #: Lines, and the share of different shapes among them, from which lines count as turned out by a program.
 SHAPE_LINES, SHAPE_PART = 8, 0.35
 
-# Patterns that the SQL uses too: a line of comment, and what stands around and inside the text of a line.
+# Used by the SQL too: a line of comment, and the characters that are taken off both ends of a line.
 NOTE = r"^\s*(//|#|/\*|\*|<!--)"
-MARKS = r"^[\s/*#<!-]+|[\s/*>-]+$"
+MARKS = " \t\n\r\f\v/*#<!>-"
 
 # Fixed patterns of the rules.
 SHEBANG = r"^\s*#![^\n]*\n\s*"
@@ -81,8 +81,9 @@ def _head_facts(heads: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(lines, lambda x: F.length(x)))
     facts = one.select("file_id", "head", "n_bytes", "n_lines", comment.alias("comment"), body.alias("body"), chars.alias("chars"), (F.lit(1) - tight / F.greatest(chars, F.lit(1))).alias("loose"), longest.alias("longest"))
     telling = F.filter(F.transform(F.split("body", "\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: F.length(x) >= LINE_CHARS)
-    plain = lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, MARKS, ""), r"\s+", " "))
-    notes = F.array_distinct(F.filter(F.transform(F.filter(F.split("head", "\n"), lambda x: x.rlike(NOTE)), plain), lambda x: F.length(x) >= NOTE_CHARS))
+    plain = lambda x: F.lower(F.btrim(x, F.lit(MARKS)))
+    said = F.transform(F.filter(F.split("head", "\n"), lambda x: x.rlike(NOTE)), lambda x: F.regexp_replace(plain(x), r"\s+", " "))
+    notes = F.array_distinct(F.filter(said, lambda x: F.length(x) >= NOTE_CHARS))
     all_lines = F.filter(F.transform(F.split("head", "\n"), plain), lambda x: F.length(x) >= LINE_CHARS)
     # a cut head ends inside a line
     whole = F.when((F.col("chars") >= DATA_CHARS) & (F.size(F.split("body", "\n")) > 1), F.regexp_replace("body", r"\n[^\n]*$", "")).otherwise(F.col("body"))
@@ -150,16 +151,21 @@ def edited_copies(lines: DataFrame) -> DataFrame:
 def noted_copies(notes: DataFrame, published: DataFrame) -> DataFrame:
     """id, shared, n_notes: files at least half of whose rare notes are those of one published file, known in another repository.
 
-    notes: id, repo, notes (array) of all files. published: id, hash of known copies. A note is
+    notes: id (once each), repo, notes (array without repetition) of all files. published: id, hash of known copies. A note is
     rare if at most one in RARE of all files, or FEW files, hold it. ``shared`` is the most notes that one published file
     shares with the file. A file without a repository is no evidence and is not judged.
     """
-    each = materialize(notes.filter("repo is not null").select("id", "repo", F.explode("notes").alias("note")).distinct(), "notes")
-    most = max(FEW, notes.count() // RARE)
-    rare = each.groupBy("note").agg(F.count(F.lit(1)).alias("n_refs")).filter(F.col("n_refs") <= most)
+    each = materialize(notes.filter("repo is not null").select("id", "repo", F.explode("notes").alias("note")), "notes")
     # a published file is met in many repositories: two of them are enough to tell that one is another
     known = each.join(published.select("id", "hash"), "id").groupBy("note", "hash").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
-    held = materialize(salted_join(each, rare, ["note"], "id"), "rare")
+    known = materialize(known, "known")
+    # only files with such a note can come out, and only their notes need be counted
+    some = each.join(each.join(known.select("note").distinct(), "note", "left_semi").select("id").distinct(), "id", "left_semi")
+    some = materialize(some, "some")
+    most = max(FEW, notes.count() // RARE)
+    counts = each.join(some.select("note").distinct(), "note", "left_semi").groupBy("note").agg(F.count(F.lit(1)).alias("n_refs"))
+    rare = materialize(counts.filter(F.col("n_refs") <= most), "rare")
+    held = materialize(salted_join(some, rare, ["note"], "id"), "held")
     totals = held.groupBy("id").agg(F.count(F.lit(1)).alias("n_notes"))
     keys = known.join(rare, "note")
     met = salted_join(held, keys, ["note"], "id").filter("lo <> repo or hi <> repo")
@@ -168,10 +174,11 @@ def noted_copies(notes: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def citing(notes: DataFrame, third_party: DataFrame) -> DataFrame:
-    """id: files with a note that has the name and the version of a published package. notes: id, notes (array)."""
+    """id: files with a note that has the name and the version of a published package. notes: id, notes (array). A version has a digit."""
     words = F.split("note", r"[^\w.@/-]+")
-    spoken = notes.select("id", F.explode("notes").alias("note")).select("id", words.alias("words"), F.explode(F.array_distinct(words)).alias("package"))
-    listed = third_party.select(F.lower("package").alias("package"), F.lower("version").alias("version")).dropna().distinct()
+    numbered = F.filter("notes", lambda x: x.rlike("[0-9]"))
+    spoken = notes.select("id", F.explode(numbered).alias("note")).select("id", words.alias("words"), F.explode(F.array_distinct(words)).alias("package"))
+    listed = third_party.select(F.lower("package").alias("package"), F.lower("version").alias("version")).filter("package is not null and version rlike '[0-9]'").distinct()
     said = F.expr("exists(words, w -> ltrim('v', w) = version)")
     return spoken.join(listed, "package").filter(said).select("id").distinct()
 
@@ -208,7 +215,7 @@ def classify_files(files: DataFrame, heads: DataFrame, third_party: DataFrame) -
     texts = whole.select("id", "repo").join(facts.select(F.col("file_id").alias("id"), F.col("all_lines").alias("lines"), "notes"), "id")
     copies = edited_copies(texts.filter(F.size("lines") >= SHARED_LINES))
     noted = noted_copies(texts, one.join(known, "hash", "left_semi")).select("id", F.lit(True).alias("noted"))
-    cited = citing(texts, third_party).withColumn("cited", F.lit(True))
+    cited = citing(facts.select(F.col("file_id").alias("id"), "notes"), third_party).withColumn("cited", F.lit(True))
     whole = whole.join(copies, "id", "left").join(noted, "id", "left").join(cited, "id", "left")
 
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -270,12 +277,13 @@ def p3_noted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_line_copies": p3_line_copies, "p3_noted_copies": p3_noted_copies}
+_MARKS = " || ".join(f"chr({ord(c)})" for c in MARKS)
 _LINES = f"""
 with f as (select id, min(hash) as hash, min(repo) as repo from files where id is not null group by id),
 h as (select f.id, f.repo, f.hash, head from f join (select file_id, max(head) as head from file_heads where file_id is not null group by file_id) on file_id = f.id),
 raw as materialized (select id, repo, hash, unnest(string_split(coalesce(head, ''), chr(10))) as l from h where repo is not null),
 plain as materialized (
-  select id, repo, hash, regexp_matches(l, '{NOTE}') as is_note, lower(regexp_replace(regexp_replace(l, '{MARKS}', '', 'g'), '\\s+', ' ', 'g')) as line from raw
+  select id, repo, hash, regexp_matches(l, '{NOTE}') as is_note, lower(trim(l, {_MARKS})) as line from raw
 )
 """
 SQL = {
@@ -285,7 +293,8 @@ n as (select id, count(*) as n from w group by id),
 s as (select a.id, b.id as other, count(*) as shared from w a join w b on a.line = b.line and a.repo <> b.repo group by all)
 select s.id as file_id, max(shared) as shared from s join n on n.id = s.id where shared >= {SHARED_LINES} and shared >= n * {SHARED_PART} group by s.id""",
     "p3_noted_copies": _LINES
-    + f""", w as materialized (select distinct id, repo, hash, line from plain where is_note and length(line) >= {NOTE_CHARS}),
+    + f""", said as (select id, repo, hash, regexp_replace(line, '\\s+', ' ', 'g') as line from plain where is_note),
+w as materialized (select distinct id, repo, hash, line from said where length(line) >= {NOTE_CHARS}),
 rare as (select line from w group by line having count(*) <= {FEW} or count(*) * {RARE} <= (select count(*) from h)),
 r as materialized (select * from w where line in (select line from rare)),
 n as (select id, count(*) as n_notes from r group by id),
